@@ -13,6 +13,7 @@ from . import query
 from .fixtures import (ALIGN, BARS, CALENDAR, CLEAN, NEWS, SPACES, bars, calendar, news, r6, rounded, sql_clean, table)
 
 THRESHOLD, WINDOW = 0.95, 24
+LOOSE = 0.8
 
 
 # ---------------------------------------------------------------- tables and records
@@ -50,7 +51,7 @@ def raw_news(spark, d):
         F.when(i % 3 == 0, F.lit(None)).when(i % 7 == 1, F.lit(" ")).otherwise(F.col("news_id")).alias("news_id"),
         F.when(i % 5 == 0, F.lit(None)).when(i % 11 == 3, F.lit("  ")).otherwise(F.col("source")).alias("source"),
         F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "url")).alias("url"),
-        F.when(i % 13 == 5, F.lit("")).otherwise("title").alias("title"),
+        F.when(i % 13 == 5, F.lit("")).otherwise(F.col("title")).alias("title"),
         F.when(i % 17 == 2, F.lit("not a time")).otherwise(F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss")).alias("publish_time"),
         F.when(i % 19 == 4, F.lit(None)).otherwise(F.col("content")).alias("content"), i.alias("row_no"))
 
@@ -232,8 +233,8 @@ def open_titles(spark, d):
     return flags.where("duplicate_reason = ''").select("news_id", "publish_time", "title_clean", "content_len")
 
 
-_GRAMS = ("list_transform(range(1, greatest(length({t}), 1)), i -> substr({t}, i, 2) || '#' || "
-          "len(list_filter(range(1, i + 1), j -> substr({t}, j, 2) = substr({t}, i, 2))))")
+_GRAMS = ("list_transform(range(1, greatest(length({t}), 1)), lambda i: substr({t}, i, 2) || '#' || "
+          "len(list_filter(range(1, i + 1), lambda j: substr({t}, j, 2) = substr({t}, i, 2))))")
 
 _CANDIDATES = f"""WITH {_KEYED},
 seen AS MATERIALIZED (SELECT DISTINCT sha1(title_clean) AS tid, title_clean AS title,
@@ -244,18 +245,18 @@ met AS (SELECT DISTINCT least(x.tid, y.tid) AS src, greatest(x.tid, y.tid) AS ds
 shared AS (SELECT src, dst, CAST(len(list_intersect(x.g, y.g)) AS INTEGER) AS n_shared, length(x.title) AS a, length(y.title) AS c
            FROM met JOIN grams x ON x.tid = src JOIN grams y ON y.tid = dst)
 SELECT src, dst, n_shared FROM shared
-WHERE n_shared > 0 AND 2 * least(a, c) >= {THRESHOLD} * (a + c) - 1e-9
-  AND n_shared >= (1.5 * {THRESHOLD} - 1) * (a + c) - 1 - 1e-9"""
+WHERE n_shared > 0 AND 2 * least(a, c) >= {LOOSE} * (a + c) - 1e-9
+  AND n_shared >= (1.5 * {LOOSE} - 1) * (a + c) - 1 - 1e-9"""
 
 
 @query("near_title_candidates", _CANDIDATES)
 def near_title_candidates(spark, d):
-    return near.title_candidates(open_titles(spark, d), THRESHOLD, WINDOW)
+    return near.title_candidates(open_titles(spark, d), LOOSE, WINDOW)
 
 
 @query("near_title_pairs")
 def near_title_pairs(spark, d):
-    return near.similar_titles(open_titles(spark, d), THRESHOLD, WINDOW)
+    return near.similar_titles(open_titles(spark, d), LOOSE, WINDOW)
 
 
 @query("dedup_near_title")

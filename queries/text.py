@@ -8,7 +8,7 @@ from tapeloom.operators import calendar as cal, cleaning, dataset, dedup, text_f
 
 from . import query
 from .articles import _KEYED, THRESHOLD, WINDOW, cleaned
-from .fixtures import ALIGN, CALENDAR, ENCODED, FEATURES, NEWS, calendar, encoded, features, news, r6, rounded, six, table
+from .fixtures import ALIGN, CALENDAR, CLEAN, ENCODED, FEATURES, NEWS, calendar, encoded, features, news, r6, rounded, six, table
 
 DIM = 16
 
@@ -52,7 +52,7 @@ def embedding_resize(spark, d):
     return out[0].unionByName(out[1]).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("softmax", f"""SELECT vec_id, i - 1 AS pos, {r6('exp(v[i] - list_max(v)) / list_sum(list_transform(v, x -> exp(x - list_max(v))))', 'p')}
+@query("softmax", f"""SELECT vec_id, i - 1 AS pos, {r6('exp(v[i] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v))))', 'p')}
        FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), range(1, 65) AS r(i)""")
 def softmax(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode(X.softmax("embedding")).alias("pos", "p"))

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from .numeric import as_col
 from .text import blank_if_null, squeeze
@@ -139,13 +139,13 @@ def select_attr(html, selector, attr):
     return run(as_col(html))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def extract_links(html: pd.Series, selector: pd.Series, base: pd.Series) -> pd.Series:
     """Resolved links of a page, unique, in document order."""
     return pd.Series([outline_links(Outline(h), s, b or "") for h, s, b in zip(html, selector, base)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:

@@ -20,7 +20,7 @@ SOURCES_SCHEMA = T.StructType([
     T.StructField("selectors", T.MapType(T.StringType(), T.StringType())),
 ])
 
-_FIELDS = "title string, publish_raw string, content string, channel string"
+_FIELDS = ["parse_error", "title", "publish_raw", "content", "channel"]
 
 
 def read_list_detail(html, selectors):
@@ -93,9 +93,7 @@ def parse_articles(details, sources, crawl_time=None, adapters=None):
     readers = dict(adapters or ADAPTERS)
     joined = details.join(sources.select("source", "adapter", "selectors"), "source")
     kept = [c for c in details.columns if c != "html"]
-    schema = T.StructType([details.schema[c] for c in kept]).add("parse_error", T.StringType())
-    for field in T._parse_datatype_string(_FIELDS):
-        schema = schema.add(field)
+    schema = T.StructType([details.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in _FIELDS])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -105,8 +103,7 @@ def parse_articles(details, sources, crawl_time=None, adapters=None):
                     rows.append((None, *readers[adapter](html, dict(selectors))))
                 except Exception as error:  # a page that cannot be read is reported, not fatal
                     rows.append((f"{type(error).__name__}: {error}", None, None, None, None))
-            found = pd.DataFrame(rows, columns=["parse_error", "title", "publish_raw", "content", "channel"],
-                                 index=frame.index, dtype=object)
+            found = pd.DataFrame(rows, columns=_FIELDS, index=frame.index, dtype=object)
             yield pd.concat([frame[kept], found], axis=1)
 
     parsed = joined.select(*kept, "html", "adapter", "selectors").mapInPandas(run, schema)
