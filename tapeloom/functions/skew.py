@@ -32,17 +32,27 @@ def join_heavy(left, right, on, weight, heavy=1000):
     )
 
 
-def with_value_bucket(df, value, buckets=256, name="_bucket"):
-    """Number of approximate quantiles of ``value`` below each row's value.
+def with_value_bucket(df, value, buckets=256, sample=None):
+    """Add ``_bucket``: the number of approximate quantiles of ``value`` below each row's value.
 
     The bucket depends on the value alone, so equal values meet and results do not change if a task is run again.
-    Quantiles are taken over the whole table: no (key, bucket) pair can outgrow its even share of distinct rows.
+    Quantiles are taken over the whole of ``sample`` (default: ``df``): no (key, bucket) pair can outgrow an even share.
+    Each row looks at every ``step``-th quantile first and then at the ``step`` ones of its block.
     """
+    step = max(1, int(buckets ** 0.5))
     points = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(value, points, 10000).alias("q")).scalar()
-    return (df.withColumn("_bounds", bounds)
-            .withColumn(name, F.size(F.filter("_bounds", lambda q: q < F.col(value))))
-            .drop("_bounds"))
+    source = df if sample is None else sample
+    bounds = source.agg(F.percentile_approx(value, points, 4 * buckets).alias("all"))
+    heads = F.transform(F.sequence(F.lit(0), F.lit((len(points) - 1) // step)), lambda i: F.get("all", i * step))
+    bounds = bounds.select(F.struct("all", heads.alias("heads"))).scalar()
+
+    def below(quantiles):
+        return F.size(F.filter(quantiles, lambda q: q < F.col(value)))
+
+    df = df.withColumn("_bounds", bounds).withColumn("_block", below(F.col("_bounds.heads")) - 1)
+    inside = F.slice("_bounds.all", F.col("_block") * step + 1, F.lit(step))
+    return df.withColumn("_bucket", F.when(F.col("_block") < 0, 0).otherwise(
+        F.col("_block") * step + below(inside))).drop("_bounds", "_block")
 
 
 def running_offsets(df, keys, bucket, total, name):
@@ -52,21 +62,19 @@ def running_offsets(df, keys, bucket, total, name):
             .select(*keys, bucket, F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias(name)))
 
 
-def average_ranks(df, keys, value, name, weight=None, buckets=256):
+def average_ranks(df, keys, value, name, weight=None, buckets=256, sample=None):
     """One row per (keys, value): its average rank ``name`` and its row count ``<name>_n``.
 
-    ``weight`` names a column that says how many rows each row stands for.
-
-    Ties are counted before any sort. A window sorts one value bucket, never a whole key.
+    ``weight`` names a column that says how many rows each row stands for. Ties are counted before any sort. A window
+    sorts one value bucket, never a whole key.
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         (F.count("*") if weight is None else F.sum(weight)).alias("_n"))
-    counted = with_value_bucket(counted, value, buckets)
+    counted = with_value_bucket(counted, value, buckets, sample)
     inside = (Window.partitionBy(*keys, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, 0))
     local = counted.withColumn("_below", F.sum("_n").over(inside) - F.col("_n"))
-    offsets = running_offsets(counted, keys, "_bucket", "_n", "_off")
-    ranked = local.join(offsets, [*keys, "_bucket"])
+    ranked = local.join(running_offsets(counted, keys, "_bucket", "_n", "_off"), [*keys, "_bucket"])
     rank = F.col("_off") + F.col("_below") + (F.col("_n") + 1) / 2.0
     return ranked.select(*keys, value, rank.alias(name), F.col("_n").alias(f"{name}_n"))

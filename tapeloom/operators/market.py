@@ -105,7 +105,10 @@ def with_regimes(df, keys=SERIES, order="trade_date", earlier_peak=None):
     """Needs ``ma_gap_20`` and ``volatility_20``. ``earlier_peak``: highest close before the rows at hand."""
     w = _last(VOL_MEDIAN_WINDOW, keys, order)
     vol = F.col("volatility_20")
-    median = F.when(F.count(vol).over(w) >= VOL_MEDIAN_MIN, F.percentile(vol, F.lit(0.5)).over(w))
+    df = df.withColumn("_vols", F.sort_array(F.collect_list(vol).over(w)))
+    known = F.size("_vols")
+    middle = F.get("_vols", F.floor((known - 1) / 2).cast("int")) + F.get("_vols", F.floor(known / 2).cast("int"))
+    median = F.when(known >= VOL_MEDIAN_MIN, middle / 2.0)
     peak = F.max("close").over(_so_far(keys, order))
     if earlier_peak is not None:
         peak = F.greatest(peak, as_col(earlier_peak))
@@ -113,7 +116,7 @@ def with_regimes(df, keys=SERIES, order="trade_date", earlier_peak=None):
         "trend_regime": flag(F.col("ma_gap_20") > 0.0),
         "vol_regime": flag(vol > median),
         "drawdown_state": flag(change("close", peak) <= DRAWDOWN_LIMIT),
-    })
+    }).drop("_vols")
 
 
 def with_next_day(df, keys=SERIES, order="trade_date"):
