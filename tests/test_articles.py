@@ -1,0 +1,141 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from tapeloom.functions import text as X
+from tapeloom.functions.markup import strip_markup
+from tapeloom.operators import calendar as cal, cleaning, dedup, text_features as tf
+from tapeloom.sources import articles as art
+
+
+def news(spark, rows):
+    return spark.createDataFrame(rows, "news_id string, url string, title string, content string, publish_time string") \
+        .withColumn("publish_time", F.expr("cast(publish_time as timestamp_ntz)"))
+
+
+def test_clean_keeps_raw_and_falls_back_to_the_title(spark):
+    df = news(spark, [("n1", "https://example.test/1", "<h1> 银行 板块 走强 </h1>", "", "2024-01-03 10:00:00")])
+    row = cleaning.clean_news(df).first()
+    assert row.raw_title == "<h1> 银行 板块 走强 </h1>"
+    assert row.title_clean == row.content_clean == "银行 板块 走强"
+    assert row.title_hash == hashlib.sha1("银行 板块 走强".encode()).hexdigest()
+    assert cleaning.clean_news(df, title_fallback=False).first().content_clean == ""
+
+
+def test_strip_markup(spark):
+    cases = {
+        "a&amp;b": "a&b", "x < y": "x < y", "<p>one<b>two</b></p> three": "one two three", "a&nbsp;　b": "a b",
+        "a​b": "ab", "&lt;b&gt;bold&lt;/b&gt;": "bold", "<style>p{}</style>seen<script>no</script>": "seen",
+        "1 < 2 and 3 > 2": "1 < 2 and 3 > 2", "a<!-- c -->b": "a b", "tab\tnew\nline\x1fend": "tab new line end"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", strip_markup("t").alias("c"))
+    assert {r.t: r.c for r in df.collect()} == cases
+    assert spark.sql("select cast(null as string) t").select(strip_markup("t")).first()[0] == ""
+
+
+def test_normalize_url(spark):
+    cases = {
+        "HTTPS://News.Example.COM/a/b/?q=1#x": "https://news.example.com/a/b", "http://h": "http://h/",
+        "legacy://s/News_1": "legacy://s/News_1", " http://h/A// ": "http://h/A", "": "", "/only/path/": "/only/path",
+        "http://h?x=1": "http://h/"}
+    df = spark.createDataFrame([(k,) for k in cases], "u string").select("u", X.normalize_url("u").alias("n"))
+    assert {r.u: r.n for r in df.collect()} == cases
+
+
+def test_news_id_and_iso_time(spark):
+    df = news(spark, [("", " u ", " t ", "", "2024-01-03 14:30:00.25"), ("", "u", "t", "", None)])
+    got = [r[0] for r in df.select(X.news_id(F.lit(" s"), "url", "publish_time", "title")).collect()]
+    want = ["news_" + hashlib.sha1(f"s|u|{t}|t".encode()).hexdigest()[:16]
+            for t in ("2024-01-03T14:30:00.250000", "1970-01-01T00:00:00")]
+    assert got == want
+
+
+def test_records_are_completed_or_rejected(spark):
+    df = spark.createDataFrame(
+        [("a", "ok", None, "2024-01-01 10:00:00"), ("b", "", None, "2024-01-01 10:00:00"), ("c", "no time", None, "soon")],
+        "k string, title string, content string, publish_time string")
+    rows = {r.k: r for r in art.normalize_articles(df).collect()}
+    assert rows["a"].reject_reason is None and rows["a"].source == "legacy_input" and rows["a"].content == ""
+    assert rows["a"].url == f"legacy://legacy_input/{rows['a'].news_id}" and rows["a"].crawl_time == rows["a"].publish_time
+    assert rows["b"].reject_reason == "news_id is required"
+    assert rows["c"].reject_reason == "publish_time is required"
+    assert art.news_table(df).count() == 1 and art.rejected_articles(art.normalize_articles(df)).count() == 2
+
+
+def test_first_per_id_is_deterministic(spark):
+    df = spark.createDataFrame([("x", "b", 1), ("x", "a", 2), ("x", "a", 1), ("y", None, 5)], "news_id string, source string, v int")
+    got = art.first_per_id(df, order=("source",)).orderBy("news_id").collect()
+    assert [tuple(r) for r in got] == [("x", "a", 1), ("y", None, 5)]
+    assert [tuple(r) for r in art.surplus_ids(df).collect()] == [("x", 2)]
+
+
+TRIPLE = [
+    ("n1", "https://example.test/1", "政策支持提振银行板块", "监管信号改善银行预期", "2024-01-03 14:30:00"),
+    ("n2", "https://example.test/2", "政策支持提振银行板块快讯", "监管信号改善银行预期", "2024-01-03 14:45:00"),
+    ("n3", "https://example.test/1", "政策支持提振银行板块", "监管信号改善银行预期", "2024-01-03 14:50:00")]
+
+
+def test_url_and_near_title_duplicates(spark):
+    clean = cleaning.clean_news(news(spark, TRIPLE))
+    flagged = dedup.dedup_news(clean, 0.8, 24)
+    rows = {r.news_id: r for r in flagged.collect()}
+    assert {k: r.duplicate_reason for k, r in rows.items()} == {"n1": "", "n2": "near_title", "n3": "exact_url"}
+    assert rows["n2"].canonical_news_id == rows["n3"].canonical_news_id == "n1"
+    assert [r.news_id for r in dedup.unique_articles(flagged).collect()] == ["n1"]
+    assert dedup.dedup_news(clean, 0.95, 24).where("is_duplicate").count() == 1
+
+
+def test_text_group_may_be_led_by_a_url_duplicate(spark):
+    rows = [("a", "http://h/1", "one", "first", "2024-01-01 08:00:00"), ("b", "http://h/1", "two", "same", "2024-01-01 09:00:00"),
+            ("c", "http://h/2", "two", "same", "2024-01-01 10:00:00")]
+    got = {r.news_id: r for r in dedup.dedup_news(cleaning.clean_news(news(spark, rows)), near=False).collect()}
+    assert (got["b"].duplicate_reason, got["b"].canonical_news_id) == ("exact_url", "b")
+    assert (got["c"].duplicate_reason, got["c"].canonical_news_id) == ("exact_text", "b")
+
+
+def test_one_url_may_hold_most_rows(spark):
+    rows = [(f"n{i:03d}", "http://hot/1" if i % 3 else f"http://h/{i}", f"title {i}", f"content {i}",
+             f"2024-01-01 08:{i // 60:02d}:{i % 60:02d}") for i in range(300)]
+    rows += [(f"e{i}", "", f"blank {i}", f"blank {i}", "2024-01-02 08:00:00") for i in range(50)]
+    flags = dedup.dedup_news(cleaning.clean_news(news(spark, rows)), near=False)
+    assert flags.count() == 350
+    assert flags.where("duplicate_reason = 'exact_url'").count() == 199
+    assert {r[0] for r in flags.where("is_duplicate").select("canonical_news_id").distinct().collect()} == {"n001"}
+
+
+def days(spark, *dates):
+    return spark.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("trade_date"))
+
+
+def test_trading_days(spark):
+    calendar = days(spark, "2024-01-05", "2024-01-08", "2024-01-09")
+    cases = {"2024-01-05 10:00:00": "2024-01-05", "2024-01-05 14:59:59": "2024-01-05", "2024-01-05 15:00:00": "2024-01-08",
+             "2024-01-05 18:00:00": "2024-01-08", "2024-01-06 11:00:00": "2024-01-08", "2023-12-01 09:00:00": "2024-01-05",
+             "2024-01-09 16:00:00": None}
+    df = news(spark, [(t, "", "", "", t) for t in cases])
+    out = {r.news_id: str(r.trade_date) for r in cal.assign_trade_dates(df, calendar).collect()}
+    assert out == {k: v for k, v in cases.items() if v}
+    aware = df.withColumn("publish_time", F.col("publish_time").cast("timestamp"))
+    shifted = {r.news_id: str(r.trade_date) for r in cal.assign_trade_dates(aware, calendar).collect()}
+    assert shifted["2024-01-05 10:00:00"] == "2024-01-08"  # 18:00 in Shanghai
+    assert cal.assign_trade_dates(df, calendar, max_lag_days=3).where("news_id like '2023%'").count() == 0
+
+
+def test_days_without_news_are_neutral(spark):
+    calendar = days(spark, "2024-01-03", "2024-01-04")
+    one = spark.createDataFrame([("n1", "ab", "abcd")], "news_id string, title_clean string, content_clean string") \
+        .withColumn("trade_date", F.to_date(F.lit("2024-01-03")))
+    rows = {str(r.trade_date): r for r in tf.daily_text_features(one, calendar).collect()}
+    assert rows["2024-01-03"].news_count == 1 and rows["2024-01-03"].title_len_mean == 2.0
+    assert rows["2024-01-04"].news_count == 0 and rows["2024-01-04"].finbert_neu_mean == 1.0
+    empty = tf.daily_sentiment(tf.encode_news(one.limit(0), 4), calendar)
+    assert empty.where("finbert_neu_mean = 1 and has_news = 0").count() == 2
+
+
+def test_encoders(spark):
+    df = spark.createDataFrame([("profit and growth",), ("risk of loss",), ("plain",), (None,)], "content_clean string")
+    rows = tf.encode_news(df, 40).collect()
+    assert [(r.pos, r.neg, r.neu) for r in rows] == [(0.7, 0.1, 0.2), (0.1, 0.7, 0.2), (0.1, 0.1, 0.8), (0.1, 0.1, 0.8)]
+    digest = hashlib.sha256(b"plain").digest()
+    assert rows[2].embedding == [digest[i % 32] / 255 * 2 - 1 for i in range(40)]
+    own = tf.encode_news(df, 3, encoder=lambda texts: ([[0.2, 0.3, 0.5]] * len(texts), [[1.0] * 5] * len(texts)))
+    assert own.first().embedding == [1.0, 1.0, 1.0] and own.first().neg == 0.3
