@@ -1,17 +1,23 @@
 """Joins and ranks that stay balanced when one key or one value holds a large share of the rows."""
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
 
-def join_heavy(left, right, on, weight, heavy=1000):
+def join_heavy(left, right, on, weight, heavy=1000, hot_rows=1_000_000):
     """Left join to ``right`` (one row per key), safe for hot keys.
 
-    The ``heavy`` keys with the largest ``weight`` (rows of ``left`` per key) are broadcast, a table of at most
+    ``weight`` is checked first: when no key stands for more than ``hot_rows`` rows, a plain join is balanced. Else the
+    ``heavy`` keys with the largest ``weight`` (rows of ``left`` per key) are broadcast, a table of at most
     ``heavy`` rows. Every other key holds at most ``1 / heavy`` of the rows and goes through a shuffle join. Rows that
     the broadcast answered, and rows without a key, are spread by a hash of the row, so no task gets them all.
     """
     on = [on] if isinstance(on, str) else list(on)
     values = [c for c in right.columns if c not in on]
+    if (right.agg(F.max(weight)).first()[0] or 0) <= hot_rows:
+        renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[F.col(c).alias(c) for c in values])
+        joined = left.join(renamed, [F.col(c) == F.col(f"_r_{c}") for c in on], "left")
+        return joined.select(*[F.col(c) for c in left.columns], *values)
     top = right.orderBy(F.desc(weight), *on).limit(heavy)
     top = top.select(*[F.col(c).alias(f"_h_{c}") for c in right.columns], F.lit(True).alias("_h_hit"))
     out = left.join(F.broadcast(top), [F.col(c) == F.col(f"_h_{c}") for c in on], "left")
@@ -33,26 +39,20 @@ def join_heavy(left, right, on, weight, heavy=1000):
 
 
 def with_value_bucket(df, value, buckets=256, sample=None):
-    """Add ``_bucket``: the number of approximate quantiles of ``value`` below each row's value.
+    """Add ``_bucket``: the place of each row's value among approximate quantiles of ``value``.
 
     The bucket depends on the value alone, so equal values meet and results do not change if a task is run again.
     Quantiles are taken over the whole of ``sample`` (default: ``df``): no (key, bucket) pair can outgrow an even share.
-    Each row looks at every ``step``-th quantile first and then at the ``step`` ones of its block.
+    Only the ``buckets - 1`` quantiles come to the driver. ``value`` must not hold NULLs in ``df``.
     """
-    step = max(1, int(buckets ** 0.5))
     points = [i / buckets for i in range(1, buckets)]
     source = df if sample is None else sample
-    bounds = source.agg(F.percentile_approx(value, points, 4 * buckets).alias("all"))
-    heads = F.transform(F.sequence(F.lit(0), F.lit((len(points) - 1) // step)), lambda i: F.get("all", i * step))
-    bounds = bounds.select(F.struct("all", heads.alias("heads"))).scalar()
-
-    def below(quantiles):
-        return F.size(F.filter(quantiles, lambda q: q < F.col(value)))
-
-    df = df.withColumn("_bounds", bounds).withColumn("_block", below(F.col("_bounds.heads")) - 1)
-    inside = F.slice("_bounds.all", F.col("_block") * step + 1, F.lit(step))
-    return df.withColumn("_bucket", F.when(F.col("_block") < 0, 0).otherwise(
-        F.col("_block") * step + below(inside))).drop("_bounds", "_block")
+    found = source.agg(F.percentile_approx(F.col(value).cast("double"), points, 4 * buckets)).first()[0] or []
+    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    if len(splits) == 2:
+        return df.withColumn("_bucket", F.lit(0))
+    place = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket")
+    return place.transform(df).withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
 def running_offsets(df, keys, bucket, total, name):

@@ -1,6 +1,7 @@
 """Reliable checkpoints."""
 
 import tempfile
+import uuid
 
 
 def ensure_checkpoint_dir(spark):
@@ -17,6 +18,12 @@ def ensure_checkpoint_dir(spark):
 
 
 def cut(df):
-    """Write the rows to the checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the checkpoint folder and go on from there.
+
+    A columnar table keeps later scans narrow and outlives lost executors.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

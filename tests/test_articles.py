@@ -102,6 +102,13 @@ def test_one_url_may_hold_most_rows(spark):
     assert {r[0] for r in flags.where("is_duplicate").select("canonical_news_id").distinct().collect()} == {"n001"}
 
 
+def test_hot_url_through_the_broadcast_path(spark, monkeypatch):
+    from tapeloom.functions import skew
+
+    monkeypatch.setattr(dedup, "join_heavy", lambda *a: skew.join_heavy(*a, heavy=1, hot_rows=0))
+    test_one_url_may_hold_most_rows(spark)
+
+
 def days(spark, *dates):
     return spark.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("trade_date"))
 

@@ -66,11 +66,12 @@ def test_ranks_with_few_buckets(spark):
     assert len(merged) == len(want) and np.allclose(merged.r_x, merged.r_y)
 
 
-def test_join_heavy_equals_a_left_join(spark):
+@pytest.mark.parametrize("hot_rows", [0, 1000])
+def test_join_heavy_equals_a_left_join(spark, hot_rows):
     left = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None))
                                    .otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
     right = left.where("k is not null and k <> 'k7'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    got = join_heavy(left, right, "k", "n", heavy=2).orderBy("id").collect()
+    got = join_heavy(left, right, "k", "n", heavy=2, hot_rows=hot_rows).orderBy("id").collect()
     want = left.join(right, "k", "left").select("id", "k", "n", "top").orderBy("id").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 

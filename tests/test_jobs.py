@@ -38,12 +38,12 @@ def test_market_to_summary(spark, paths):
     assert "embedding" in encoded.columns
     main = jobs.build_dataset(spark, paths, dim=8)
     assert main.count() == 90 and main.where("finbert_pos_mean > 0").count() > 40
-    predictions = jobs.train(spark, paths, task="multitask", text="cls_embedding", dim=8, maxIter=3)
+    predictions = jobs.train(spark, paths, task="multitask", text="cls_embedding", dim=8, maxIter=1, maxDepth=2)
     assert {r.split for r in predictions.select("split").distinct().collect()} == {"train", "valid", "test"}
     assert predictions.where("pred_cls_score < 0 or pred_cls_score > 1").count() == 0
     tables = jobs.evaluate_run(spark, paths)
     assert tables["split_metrics"].count() == 3 and tables["strategy_metrics"].where("split = 'test'").count() == 1
-    summary = jobs.run_suite(spark, paths, {"task": ["cls", "reg"], "modality": ["num"]}, {"maxIter": 2}, name="s")
+    summary = jobs.run_suite(spark, paths, {"task": ["cls", "reg"], "modality": ["num"]}, {"maxIter": 1, "maxDepth": 2}, name="s")
     rows = {r.run_name: r for r in summary.collect()}
     assert set(rows) == {"s_01", "s_02"} and rows["s_01"].test_reg_mse is None and rows["s_02"].test_cls_accuracy is None
     assert rows["s_02"].task == "reg" and rows["s_01"].test_strategy_sharpe is not None
