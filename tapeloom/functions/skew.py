@@ -5,37 +5,36 @@ from pyspark.sql import Window, functions as F
 
 
 def join_heavy(left, right, on, weight, heavy=1000, hot_rows=1_000_000):
-    """Left join to ``right`` (one row per key), safe for hot keys.
+    """Left join to ``right`` (one row per key), safe for hot and for missing keys.
 
-    ``weight`` is checked first: when no key stands for more than ``hot_rows`` rows, a plain join is balanced. Else the
-    ``heavy`` keys with the largest ``weight`` (rows of ``left`` per key) are broadcast, a table of at most
-    ``heavy`` rows. Every other key holds at most ``1 / heavy`` of the rows and goes through a shuffle join. Rows that
-    the broadcast answered, and rows without a key, are spread by a hash of the row, so no task gets them all.
+    ``weight`` tells how many rows of ``left`` a key stands for. If some key exceeds ``hot_rows``, the ``heavy`` keys
+    with the largest weight are broadcast, a table of at most ``heavy`` rows; every other key then holds at most
+    ``1 / heavy`` of the rows and goes through the shuffle join. Rows the broadcast answered, and rows without a key,
+    are spread by a hash of the row, so no task gets them all.
     """
     on = [on] if isinstance(on, str) else list(on)
     values = [c for c in right.columns if c not in on]
-    if (right.agg(F.max(weight)).first()[0] or 0) <= hot_rows:
-        renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[F.col(c).alias(c) for c in values])
-        joined = left.join(renamed, [F.col(c) == F.col(f"_r_{c}") for c in on], "left")
-        return joined.select(*[F.col(c) for c in left.columns], *values)
-    top = right.orderBy(F.desc(weight), *on).limit(heavy)
-    top = top.select(*[F.col(c).alias(f"_h_{c}") for c in right.columns], F.lit(True).alias("_h_hit"))
-    out = left.join(F.broadcast(top), [F.col(c) == F.col(f"_h_{c}") for c in on], "left")
-
-    unkeyed = F.lit(False)
-    for c in on:
-        unkeyed = unkeyed | F.col(c).isNull()
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + 1
-    out = out.withColumn("_spread", F.when(F.col("_h_hit").isNotNull() | unkeyed, spread).otherwise(F.lit(0).cast("long")))
+    hot = (right.agg(F.max(weight)).first()[0] or 0) > hot_rows
+    done = F.lit(False)
     for c in on:
-        out = out.withColumn(f"_k_{c}", F.when(F.col("_spread") == 0, F.col(c)))
+        done = done | F.col(c).isNull()
+    out = left
+    if hot:
+        top = right.orderBy(F.desc(weight), *on).limit(heavy)
+        top = top.select(*[F.col(c).alias(f"_h_{c}") for c in right.columns], F.lit(True).alias("_h_hit"))
+        out = left.join(F.broadcast(top), [F.col(c) == F.col(f"_h_{c}") for c in on], "left")
+        done = done | F.col("_h_hit").isNotNull()
+    anywhere = F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)) + 1
+    out = out.withColumn("_spread", F.when(done, anywhere).otherwise(F.lit(0).cast("long")))
     rest = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns], F.lit(0).cast("long").alias("_r_spread"))
-    match = [F.col(f"_k_{c}") == F.col(f"_r_{c}") for c in on] + [F.col("_spread") == F.col("_r_spread")]
+    match = [F.col(c) == F.col(f"_r_{c}") for c in on] + [F.col("_spread") == F.col("_r_spread")]
     out = out.join(rest, match, "left")
-    return out.select(
-        *[F.col(c) for c in left.columns],
-        *[F.when(F.col("_h_hit").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_r_{c}")).alias(c) for c in values],
-    )
+
+    def value(c):
+        found = F.col(f"_r_{c}")
+        return (F.when(F.col("_h_hit").isNotNull(), F.col(f"_h_{c}")).otherwise(found) if hot else found).alias(c)
+
+    return out.select(*[F.col(c) for c in left.columns], *[value(c) for c in values])
 
 
 def with_value_bucket(df, value, buckets=256, sample=None):
