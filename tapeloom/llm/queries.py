@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, mixing
+from . import decontaminate, hilbert, mixing, toxicity
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -45,3 +45,13 @@ def op8_curriculum_mix(spark, sf_dir):
     mixed = mixing.mix(docs, "size", tie=("doc_id", "text_md5"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"),
                         F.round(F.get("copies", F.lit(0))["time"], 9).alias("first_time"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every document by non-negative positive-unlabelled learning."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
