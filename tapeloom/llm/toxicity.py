@@ -9,7 +9,7 @@ from . import textmath
 DIM = 1 << 18
 PREFIXES = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 16000
-LIFT = 8.0
+LIFT, LEAST = 6.0, 3
 
 
 def features(data, known=None, dim=DIM):
@@ -80,12 +80,13 @@ def fit_nnpu(positive, unlabelled, prior, dim=DIM, steps=750, batch=256, rate=0.
     return weights, bias
 
 
-def choose_features(positive, unlabelled, dim=DIM, lift=LIFT):
-    """Mask of the features whose share among the positives exceeds that among the rest by ``lift`` standard errors."""
+def choose_features(positive, unlabelled, dim=DIM, lift=LIFT, least=LEAST):
+    """Mask of the features in ``least`` positives or more whose share there exceeds the rest's by ``lift`` standard errors."""
     count = lambda sample: np.bincount(np.concatenate([np.zeros(0, np.int64), *sample]), minlength=dim)
     base = (count(unlabelled) + 1) / (len(unlabelled) + 2)
-    share = count(positive) / max(len(positive), 1)
-    return share - base >= lift * np.sqrt(base * (1 - base) / max(len(positive), 1))
+    hits = count(positive)
+    share = hits / max(len(positive), 1)
+    return (hits >= least) & (share - base >= lift * np.sqrt(base * (1 - base) / max(len(positive), 1)))
 
 
 def prior_threshold(scores, prior, low=0.85, high=1.05):
@@ -95,6 +96,9 @@ def prior_threshold(scores, prior, low=0.85, high=1.05):
     last = min(max(int(np.ceil(high * prior * len(ranked))), first + 1), len(ranked))
     gaps = ranked[first - 1:last - 1] - ranked[first:last]
     at = first + int(np.argmax(gaps))
+    if ranked[at - 1] == ranked[at]:  # one run of ties: cut above it, or keep 0 where nothing is above
+        above = ranked[ranked > ranked[at]]
+        return (above[-1] + ranked[at]) / 2 if len(above) else 0.0
     return (ranked[at - 1] + ranked[at]) / 2
 
 
@@ -149,7 +153,7 @@ def train(docs, labels, text="text", doc_id="doc_id", label="toxic", max_positiv
     if len(unlabelled) > 1:
         lengths = np.array([len(row) for row in unlabelled])
         scores = _sums(weights, np.concatenate(([0], np.cumsum(lengths))), np.concatenate(unlabelled))
-        bias = -prior_threshold(scores, toxic / total)
+        bias = bias - prior_threshold(scores + bias, toxic / total)
     return {"weights": weights, "bias": float(bias), "known": mask}
 
 
