@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, mixing, toxicity
+from . import decontaminate, hilbert, jaccard, mixing, toxicity
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -55,3 +55,9 @@ def op10_toxicity(spark, sf_dir):
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
                          toxicity.toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    """Every document with its number of 5-word shingles and its class of similar documents."""
+    return jaccard.classes(jaccard.jaccard_join(table(spark, sf_dir, "documents")))
