@@ -2,12 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, jaccard, mixing, toxicity
+from . import decontaminate, hilbert, jaccard, mixing, token_file, toxicity, warc
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer_path():
+    """Where the public tokenizer file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name, sql=None):
     def add(fn):
         QUERIES[name] = fn
@@ -61,3 +68,23 @@ def op10_toxicity(spark, sf_dir):
 def op5_jaccard_join(spark, sf_dir):
     """Every document with its number of 5-word shingles and its class of similar documents."""
     return jaccard.classes(jaccard.jaccard_join(table(spark, sf_dir, "documents")))
+
+
+@query("op2_token_files")
+def op2_token_files(spark, sf_dir):
+    """Write every document's token ids to binary files, read them back and give place, length and checksum."""
+    return token_file.checksums(*token_file.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query("op4_warc", """
+    with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+    d as (select page_id, octet_length(payload) as n, sha1(payload) as h from p),
+    g as (select *, max(page_id) over (partition by h) as top from d),
+    b as (select *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + (('0x' || substr(h || '00', 1 + ((i * 5) // 4), 3))::int >> (7 - ((i * 5) % 4))) % 32, 1)) as c from g)
+    select page_id, n as payload_bytes, array_to_string(c, '') as payload_digest,
+           case when page_id = top then 'response' else 'revisit' end as record_type,
+           case when page_id = top then null else top end as refers_to from b""")
+def op4_warc(spark, sf_dir):
+    """Archive every page, read the archives back and list the records."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
