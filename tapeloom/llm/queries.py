@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, jaccard, mixing, token_file, toxicity, warc
+from . import decontaminate, hilbert, jaccard, line_templates, mixing, token_file, toxicity, warc
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,10 @@ def op2_token_files(spark, sf_dir):
 def op4_warc(spark, sf_dir):
     """Archive every page, read the archives back and list the records."""
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+@query("op6_line_templates")
+def op6_line_templates(spark, sf_dir):
+    """Every document less the lines whose template recurs from a document of smaller id."""
+    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
