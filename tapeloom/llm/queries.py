@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, jaccard, line_templates, mixing, token_file, toxicity, warc
+from . import decontaminate, hilbert, jaccard, line_templates, mixing, quality, token_file, toxicity, warc
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +95,13 @@ def op6_line_templates(spark, sf_dir):
     """Every document less the lines whose template recurs from a document of smaller id."""
     out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
+@query("op9_quality")
+def op9_quality(spark, sf_dir):
+    """Quality of every document by nearest-neighbour voting."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         quality.quality(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
