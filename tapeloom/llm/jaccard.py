@@ -102,31 +102,35 @@ def hot_tokens(docs, text, width, least=HOT):
 
 
 def _scan(batches):
-    """Groups of rows with one token, in token order: the pairs of small groups, the rows of large ones (``b`` NULL)."""
+    """Groups of rows with one token, in token order: the pairs of small groups, and the rows of large ones as ``big``.
+
+    ``near`` tells whether what follows the token in both sets can reach the threshold; of a similar pair the first shared
+    token always does.
+    """
     held = None
-    blank = {"token": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
+    blank = {"token": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64)}
     big_token = None
 
-    def out(kind, a, b, na, nb):
-        return pd.DataFrame({"big": np.full(len(a), kind), "a": a, "b": b, "na": na, "nb": nb})
+    def out(kind, a, b, na, nb, pos, near):
+        return pd.DataFrame({"big": np.full(len(a), kind), "a": a, "b": b, "na": na, "nb": nb, "pos": pos, "near": near})
 
     def work(rows, last):
         nonlocal held, big_token
-        token, node, n = rows["token"], rows["node"], rows["n"]
+        token, node, n, pos = (rows[c] for c in blank)
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[keep], node[keep], n[keep]
+        token, node, n, pos = token[keep], node[keep], n[keep], pos[keep]
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
         sizes = np.diff(np.append(edge, len(token)))
         held = None
         if len(edge) and not last and sizes[-1] <= GROUP and token[edge[-1]] != big_token:
             at = edge[-1]
-            held = {"token": token[at:], "node": node[at:], "n": n[at:]}
+            held = {"token": token[at:], "node": node[at:], "n": n[at:], "pos": pos[at:]}
             edge, sizes = edge[:-1], sizes[:-1]
         large = (sizes > GROUP) | (token[edge] == big_token) if len(edge) else np.zeros(0, bool)
         for at, size in zip(edge[large], sizes[large]):
             part = slice(at, at + size)
-            yield out(True, token[part], node[part], n[part], n[part])
+            yield out(True, token[part], node[part], n[part], n[part], pos[part], True)
         if len(large) and large[-1] and held is None:
             big_token = token[edge[-1]]
         for size in np.unique(sizes[~large]):
@@ -139,7 +143,8 @@ def _scan(batches):
                 left, right = m[:, i].ravel(), m[:, j].ravel()
                 fit = NUM * np.maximum(n[left], n[right]) <= DEN * np.minimum(n[left], n[right])
                 left, right = left[fit], right[fit]
-                yield out(False, node[left], node[right], n[left], n[right])
+                near = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= needed(n[left], n[right])
+                yield out(False, node[left], node[right], n[left], n[right], pos[left], near)
 
     for batch in batches:
         rows = {c: batch[c].to_numpy() for c in blank}
@@ -206,10 +211,11 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
     than ``width`` are one shingle; NULL and texts without words have ``node`` and ``root`` NULL and link with nothing.
 
     Equal sets are one node, so copies meet in an aggregate and are never paired. Nodes look each other up by the tokens
-    of their lengthened prefixes (``hot_tokens``, ``lengthened``). A pair must then share enough prefix tokens for the
-    threshold to be in reach before whole sets are compared: first 32-bit, then 64-bit hashes. Tokens that stay common
-    (sets made of hot tokens only) link to one leader per size class first; afterwards only pairs of different classes
-    that still share such a token are compared. No pair above the threshold is lost, whatever the group sizes.
+    of their lengthened prefixes (``hot_tokens``, ``lengthened``). A pair must then share enough prefix tokens, and what
+    follows its first shared token must be long enough, for the threshold to be in reach before whole sets are compared:
+    first 32-bit, then 64-bit hashes. Tokens that stay common (sets made of hot tokens only) link to one leader per size
+    class first; afterwards only pairs of different classes that still share such a token are compared. No pair above the
+    threshold is lost, whatever the group sizes.
 
     A NULL id is kept. Rows of one id are told apart by ``text_hash``; repeated rows all come out. Empty tables give no rows.
     """
@@ -233,12 +239,12 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
                                 "n": n, "prefix": parts})
 
     base = cut(rows.mapInPandas(emit, f"doc_id {id_type}, text_hash long, node long, n long, prefix array<bigint>"))
-    tokens = base.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n")
+    tokens = base.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     dealt = tokens.repartition(shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
-    met = cut(dealt.mapInPandas(_scan, "big boolean, a long, b long, na long, nb long"))
-    common = met.where("big").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"))
+    met = cut(dealt.mapInPandas(_scan, "big boolean, a long, b long, na long, nb long, pos long, near boolean"))
+    common = met.where("big").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n"), "pos")
     in_common = common.groupBy("node").agg(F.count("*").alias("c"))
-    pairs = met.where("not big").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = met.where("not big").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("near").alias("near")).where("near")
     for end in ("a", "b"):
         pairs = pairs.join(in_common.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end, "left")
     rest = F.greatest(*[F.expr(f"{n} - ({n} - ({n} * {NUM} + {DEN - 1}) div {DEN} + 1)") for n in ("na", "nb")])
@@ -281,10 +287,11 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
         labels = components(links)
         named = common.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        named = cut(named.join(mixed.select("token"), "token", "left_semi").select("token", "node", "n", "root"))
-        x = named.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        y = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        across = x.join(y, "token").where("a < b and ra != rb").where(fit).select("a", "b", "na", "nb").distinct()
+        named = cut(named.join(mixed.select("token"), "token", "left_semi").select("token", "node", "n", "pos", "root"))
+        x = named.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+        y = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+        reach = f"least(na - pa, nb - pb) >= ({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}"
+        across = x.join(y, "token").where("a < b and ra != rb").where(fit).where(reach).select("a", "b", "na", "nb").distinct()
         links = cut(links.union(compare(cut(across.join(pairs, ["a", "b"], "left_anti")))))
     labels = components(links)
     out = base.join(labels, "node", "left")
