@@ -54,3 +54,9 @@ def word_count(text):
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def broadcast_if_small(df, rows=200_000):
+    """Store a narrow frame; hint a broadcast only if it has at most ``rows`` rows, else leave the join to a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df

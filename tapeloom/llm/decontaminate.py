@@ -4,13 +4,12 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from .common import broadcast_if_small
 
 # Fixed value: a word is a run of ASCII letters and digits (after lower-casing A-Z) and anything beyond ASCII.
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 BROADCAST_WINDOWS = 500_000
-BROADCAST_DOCUMENTS = 100_000
 SET_ANCHORS = 50_000
 
 
@@ -118,14 +117,14 @@ def remove_documents(docs, report, doc_id="doc_id", text="text"):
     """Documents without a hit, all columns as they are."""
     bad = _marks(report).select("_id", "_text")
     match = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text"))
-    return docs.join(_small(bad), match, "left_anti")
+    return docs.join(broadcast_if_small(bad), match, "left_anti")
 
 
 def remove_spans(docs, report, doc_id="doc_id", text="text"):
     """All documents; the words in hit spans go, with what stands between them and the next word, from texts with hits."""
     bad = _marks(report)
     match = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text"))
-    out = docs.join(_small(bad), match, "left")
+    out = docs.join(broadcast_if_small(bad), match, "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(WORD.replace(r"\x3A-\x60\x7B", r"\x3A-\x40\x5B-\x60\x7B")[:-1] + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"))
     kept = F.filter(F.transform(pieces, lambda w, i: F.when(
         ~F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["end"])), w)), lambda w: w.isNotNull())
@@ -136,9 +135,3 @@ def remove_spans(docs, report, doc_id="doc_id", text="text"):
 def _marks(report):
     return report.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"),
                                             F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
-
-
-def _small(marks):
-    """Broadcast the marked documents only if they are few; their number grows with the corpus."""
-    marks = cut(marks)
-    return F.broadcast(marks) if marks.count() <= BROADCAST_DOCUMENTS else marks

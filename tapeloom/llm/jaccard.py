@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut
 from . import textmath
-from .common import shuffle_partitions
+from .common import broadcast_if_small, shuffle_partitions
 
 HOT, MAX_HOT, GROUP = 16, 500_000, 64
 NUM, DEN = 4, 5  # Jaccard threshold NUM / DEN
@@ -263,6 +263,7 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
     open_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(common.select("node")).distinct()
     texts = base.join(open_nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     texts = texts.select("node", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    texts = broadcast_if_small(texts)
     found = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
 
     def whole(batches):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, jaccard, line_templates, mixing, quality, token_file, toxicity, warc
+from . import decontaminate, hilbert, jaccard, line_templates, mixing, nn_descent, quality, token_file, toxicity, warc
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -105,3 +105,9 @@ def op9_quality(spark, sf_dir):
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
                          quality.quality(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op1_nn_descent")
+def op1_nn_descent(spark, sf_dir):
+    """The 5 nearest embeddings found for every 50th one."""
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
