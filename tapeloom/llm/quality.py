@@ -11,7 +11,7 @@ WORDS, SHAPES, LEVELS = 2048, 2048, 8
 RATIOS = 5
 DIM = WORDS + SHAPES + LEVELS * RATIOS
 WORD_WEIGHT, RATIO_WEIGHT = 0.3, 0.4
-MAX_LABELLED, LATENT, NEIGHBOURS = 6000, 48, 25
+MAX_LABELLED, LATENT, NEIGHBOURS = 4000, 48, 25
 BLOCK = 256
 
 # Byte classes of token shapes: letters and digits by kind, every other ASCII sign is its own class.

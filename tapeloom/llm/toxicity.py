@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from . import textmath
 
 DIM = 1 << 18
@@ -80,13 +81,14 @@ def fit_nnpu(positive, unlabelled, prior, dim=DIM, steps=750, batch=256, rate=0.
     return weights, bias
 
 
-def choose_features(positive, unlabelled, dim=DIM, lift=LIFT, least=LEAST):
-    """Mask of the features in ``least`` positives or more whose share there exceeds the rest's by ``lift`` standard errors."""
-    count = lambda sample: np.bincount(np.concatenate([np.zeros(0, np.int64), *sample]), minlength=dim)
-    base = (count(unlabelled) + 1) / (len(unlabelled) + 2)
-    hits = count(positive)
-    share = hits / max(len(positive), 1)
-    return (hits >= least) & (share - base >= lift * np.sqrt(base * (1 - base) / max(len(positive), 1)))
+def choose_features(in_positive, in_unlabelled, positives, unlabelled, lift=LIFT, least=LEAST):
+    """Mask of the features in ``least`` positives or more whose share there exceeds the rest's by ``lift`` standard errors.
+
+    Takes the number of rows that hold each feature and the sizes of the two samples.
+    """
+    base = (in_unlabelled + 1) / (unlabelled + 2)
+    share = in_positive / max(positives, 1)
+    return (in_positive >= least) & (share - base >= lift * np.sqrt(base * (1 - base) / max(positives, 1)))
 
 
 def prior_threshold(scores, prior, low=0.85, high=1.05):
@@ -118,7 +120,7 @@ def train(docs, labels, text="text", doc_id="doc_id", label="toxic", max_positiv
 
     Both samples are the rows of ``labels`` with the smallest hash of their id, outside the held-out fold; the class prior
     is the share of toxic rows among all labels outside that fold. The texts of the samples are found by a broadcast of
-    the sampled ids, a bounded table. After training, the bias moves the cut to the gap in the scores of the unlabelled
+    the sampled ids, a bounded table; only the counts of the features and each row's chosen ones come to the driver. After training, the bias moves the cut to the gap in the scores of the unlabelled
     sample that leaves about the class prior above it. Without a confirmed toxic row the model scores 0.
     """
     known = training_labels(labels, label, doc_id)
@@ -141,14 +143,37 @@ def train(docs, labels, text="text", doc_id="doc_id", label="toxic", max_positiv
                                     "index": [index[a:b].astype(np.int32).tobytes() for a, b in zip(indptr[:-1], indptr[1:])]})
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    found = rows.mapInPandas(extract, f"_id {id_type}, _p boolean, _u boolean, index binary").toPandas()
-    found = found.sort_values(["_id", "index"], kind="stable")
-    decode = lambda part: [np.frombuffer(b, np.int32).astype(np.int64) for b in part["index"]]
-    positive, unlabelled = decode(found[found["_p"]]), decode(found[found["_u"]])
-    if not positive or not unlabelled:
+    found = cut(rows.mapInPandas(extract, f"_id {id_type}, _p boolean, _u boolean, index binary"))
+
+    def count(batches):
+        totals = np.zeros((2, DIM + 1), np.int64)
+        for batch in batches:
+            for i, name in enumerate(("_p", "_u")):
+                part = batch.loc[batch[name], "index"]
+                totals[i, :DIM] += np.bincount(np.frombuffer(b"".join(part), np.int32), minlength=DIM)
+                totals[i, DIM] += len(part)
+        at = np.flatnonzero(totals.any(axis=0))
+        yield pd.DataFrame({"feature": at, "p": totals[0, at], "u": totals[1, at]})
+
+    totals = np.zeros((2, DIM + 1), np.int64)
+    held = found.mapInPandas(count, "feature int, p long, u long").groupBy("feature").agg(
+        F.sum("p").alias("p"), F.sum("u").alias("u")).where(f"p >= {LEAST} or feature = {DIM}").toPandas()
+    totals[:, held["feature"].to_numpy(int)] = held[["p", "u"]].to_numpy().T
+    mask = choose_features(totals[0, :DIM], totals[1, :DIM], totals[0, DIM], totals[1, DIM])
+    if not totals[0, DIM] or not totals[1, DIM]:
         return empty
-    mask = choose_features(positive, unlabelled)
-    positive, unlabelled = ([row[mask[row]] for row in sample] for sample in (positive, unlabelled))
+    chosen = np.flatnonzero(mask)
+
+    def choose(batches):
+        known = np.zeros(DIM, bool)
+        known[chosen] = True
+        for batch in batches:
+            parts = [np.frombuffer(b, np.int32) for b in batch["index"]]
+            yield batch.assign(index=[x[known[x]].tobytes() for x in parts])
+
+    small = found.mapInPandas(choose, found.schema).toPandas().sort_values(["_id", "index"], kind="stable")
+    decode = lambda part: [np.frombuffer(b, np.int32).astype(np.int64) for b in part["index"]]
+    positive, unlabelled = decode(small[small["_p"]]), decode(small[small["_u"]])
     weights, bias = fit_nnpu(positive, unlabelled, toxic / total)
     if len(unlabelled) > 1:
         lengths = np.array([len(row) for row in unlabelled])
