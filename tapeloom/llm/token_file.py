@@ -28,7 +28,7 @@ from .files import read_bytes, shared_folder, write_bytes
 MAGIC = b"TIDR1\n\0\0"
 NO_KEY = -(1 << 63)
 FILE_IDS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 # Fixed value: how the tokenizer file splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -97,14 +97,22 @@ class WordEncoder:
     def __init__(self, path):
         from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(r"\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()] + NOT_SPACE
+        self.special = [str(t.content) for t in self.model.get_added_tokens_decoder().values()] + NOT_SPACE
         self.known = {}
 
+    def whole(self, text):
+        """Ids by the unchanged tokenizer, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _chunk_ids(self, chunks):
         """Ids of each white-space chunk, as arrays."""
         words = [WORDS.findall(c) for c in chunks]
@@ -128,7 +136,7 @@ class WordEncoder:
         for i, text in enumerate(texts):
             text = text or ""
             if any(s in text for s in self.special):
-                out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                out[i] = self.whole(text)
             else:
                 plain.append(i)
         lowered = [unicodedata.normalize("NFC", texts[i] or "").replace("Σ", "σ").lower().split() for i in plain]
@@ -152,7 +160,7 @@ def _encoder(path):
     return WordEncoder(path)
 
 
-def _batches(texts, size=4 << 20):
+def _batches(texts, size=2 << 20):
     """Index ranges of about ``size`` characters."""
     first, total = 0, 0
     for i, text in enumerate(texts):
