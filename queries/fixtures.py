@@ -74,7 +74,7 @@ def news(spark, sf_dir):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("news_id"), "source",
         F.concat(F.lit("https://News.Example.com/"), page.cast("string"), F.lit("/?ref="),
                  F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         (F.lit("1998-01-05 00:00:00").cast("timestamp_ntz") + minutes).alias("publish_time"),
         F.col("text").alias("content"), F.col("lang").alias("channel"))
 
@@ -83,7 +83,7 @@ NEWS = """
 news AS (
   SELECT 'd' || doc_id AS news_id, source,
          'https://News.Example.com/' || (CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END) || '/?ref=' || doc_id AS url,
-         substr(split_part(text, chr(10), 1), 1, 80) AS title,
+         split_part(text, chr(10), 1) AS title,
          TIMESTAMP '1998-01-05 00:00:00' + to_minutes(doc_id * 37) AS publish_time, text AS content, lang AS channel
   FROM documents)"""
 

@@ -13,6 +13,12 @@ def finite(c):
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def with_finite(df, columns):
+    """NaN and infinities of the named floating-point columns become NULL; other types and missing names stay as they are."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: finite(c) for c in columns if kinds.get(c) in ("double", "float")})
+
+
 def ratio(a, b):
     """a / b, NULL on a zero divisor."""
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))

@@ -88,15 +88,21 @@ def keyword_sentiment(text):
     return F.struct(pick(0).alias("pos"), pick(1).alias("neg"), pick(2).alias("neu"))
 
 
+def _once(value, use):
+    """``use(value)`` with ``value`` worked out once, not once per element of an inner array function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash_embedding(text, dim):
     """SHA-256 bytes of the text, cycled to ``dim`` numbers in [-1, 1]."""
-    digest = F.sha2(blank_if_null(text).cast("binary"), 256)
+    def numbers(digest):
+        def byte(i):
+            pair = F.substr(digest, (i % 32) * 2 + 1, F.lit(2))
+            return F.conv(pair, 16, 10).cast("double") / 255.0 * 2.0 - 1.0
 
-    def byte(i):
-        pair = F.substr(digest, (i % 32) * 2 + 1, F.lit(2))
-        return F.conv(pair, 16, 10).cast("double") / 255.0 * 2.0 - 1.0
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), byte)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), byte)
+    return _once(F.sha2(blank_if_null(text).cast("binary"), 256), numbers)
 
 
 def resize_vector(v, dim):
@@ -106,8 +112,13 @@ def resize_vector(v, dim):
 
 def softmax(v):
     v = as_col(v)
-    weights = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+
+    def shares(weights):
+        total = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+        return _once(total, lambda t: F.transform(weights, lambda w: w / t))
+
+    top = F.array_max(v).cast("double")
+    return _once(_once(top, lambda m: F.transform(v, lambda x: F.exp(x.cast("double") - m))), shares)
 
 
 def embedding_names(dim):

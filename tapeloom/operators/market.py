@@ -7,8 +7,8 @@ each series into blocks that carry the rows their first windows look back on.
 
 from pyspark.sql import Window, functions as F
 
-from ..contracts import DEFAULT_SPLITS, MARKET_FEATURES, SERIES
-from ..functions.numeric import as_col, change, filled, flag, ratio
+from ..contracts import BASE_INPUTS, DEFAULT_SPLITS, MARKET_FEATURES, SERIES
+from ..functions.numeric import as_col, change, filled, flag, ratio, with_finite
 
 RETURN_STEPS = (1, 2, 3, 5, 10, 20)
 VOLATILITY_WINDOWS = (5, 10, 20)
@@ -103,6 +103,7 @@ def with_price_volume_corr(df, windows=CORR_WINDOWS, keys=SERIES, order="trade_d
 
 def with_regimes(df, keys=SERIES, order="trade_date", earlier_peak=None):
     """Needs ``ma_gap_20`` and ``volatility_20``. ``earlier_peak``: highest close before the rows at hand."""
+    df = with_finite(df, ["ma_gap_20", "volatility_20", "close"])
     w = _last(VOL_MEDIAN_WINDOW, keys, order)
     vol = F.col("volatility_20")
     df = df.withColumn("_vols", F.sort_array(F.collect_list(vol).over(w)))
@@ -121,6 +122,7 @@ def with_regimes(df, keys=SERIES, order="trade_date", earlier_peak=None):
 
 def with_next_day(df, keys=SERIES, order="trade_date"):
     """Next-day return, next day's open-to-close return and up/down label."""
+    df = with_finite(df, ["open", "close"])
     w = series_window(keys, order)
     df = df.withColumns({
         "next_ret_1": change(F.lead("close", 1).over(w), "close"),
@@ -147,7 +149,7 @@ def series_blocks(df, block_rows, keys=SERIES, order="trade_date", look_back=LOO
 
     Adds ``_block`` and ``_own``: a block also holds copies (``_own = false``) of at least ``look_back`` rows before it
     and the row after it. Rows are counted per month first (map-side), so the window that numbers the blocks holds one
-    row per month, and copies are whole months.
+    row per month, and copies are whole months. Rows without a date are the first month; NULL keys are a series.
     """
     keys = list(keys)
     months = df.groupBy(*keys, F.trunc(order, "month").alias("_month")).agg(
@@ -160,12 +162,15 @@ def series_blocks(df, block_rows, keys=SERIES, order="trade_date", look_back=LOO
     previous = F.coalesce(F.lag("_home", 1).over(w), F.col("_home"))
     peak = F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1))
     months = months.select(
-        *keys, "_month", "_home", peak.alias("_peak"),
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_month").alias("_of"), "_home", peak.alias("_peak"),
         F.array_union(F.sequence("_home", reach), F.array(previous)).alias("_blocks"))
-    placed = df.withColumn("_month", F.trunc(order, "month")).join(months, [*keys, "_month"])
+    match = F.trunc(order, "month").eqNullSafe(F.col("_of"))
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    placed = df.join(months, match)
     return (placed.withColumn("_block", F.explode("_blocks"))
             .withColumn("_own", F.col("_block") == F.col("_home"))
-            .drop("_blocks", "_home", "_month"))
+            .drop("_blocks", "_home", "_of", *[f"_key_{i}" for i in range(len(keys))]))
 
 
 def _features(df, keys, order, earlier_peak):
@@ -183,6 +188,7 @@ def _features(df, keys, order, earlier_peak):
 
 def market_features(bars, split_dates=None, keys=SERIES, order="trade_date", fill_value=0.0, block_rows=None):
     """All 28 features and 4 labels over ``bars``; feature NULLs become ``fill_value`` (None keeps them)."""
+    bars = with_finite(bars, BASE_INPUTS)
     if block_rows:
         cut = series_blocks(bars, block_rows, keys, order)
         # A peak of the months before counts only once per block: the running peak takes it from there.

@@ -26,13 +26,22 @@ class Paths:
         return self.other.get(name, f"{self.root}/{name}.parquet")
 
 
-def extract_news(spark, paths, sources, starts, crawl_time=None, adapters=None):
-    """Pages table to the raw article table: registry filter, links, pages, records, first record per id."""
+def extract_news(spark, paths, sources, starts, crawl_time=None, adapters=None, zone="Asia/Shanghai"):
+    """Pages table to the raw article table: registry filter, links, pages, records, first record per id.
+
+    What is left out has its own tables: ``unknown_sources`` (no reader for the adapter), ``missing_pages`` (links without a
+    stored page), ``rejected_pages`` (parse errors and invalid records) and ``surplus_pages`` (ids with more records).
+    """
     pages = tb.read_table(spark, paths.pages)
     active = pg.enabled_sources(sources, adapters)
     links = pg.listing_links(pages, active, starts.join(active.select("source"), "source", "left_semi"))
-    parsed = pg.parse_articles(pg.fetch_details(links, pages), active, crawl_time, adapters)
+    links = cut(links)
+    tb.write_table(pg.unknown_adapters(sources, adapters), paths.unknown_sources)
+    tb.write_table(pg.missing_details(links, pages), paths.missing_pages)
+    parsed = cut(pg.parse_articles(pg.fetch_details(links, pages), active, crawl_time, adapters, zone))
+    tb.write_table(parsed.where("parse_error is not null or reject_reason is not null"), paths.rejected_pages)
     found = parsed.where("parse_error is null and reject_reason is null").drop("parse_error", "reject_reason")
+    tb.write_table(art.surplus_ids(found), paths.surplus_pages)
     tb.write_table(art.first_per_id(found).select(*ARTICLE_SCHEMA.fieldNames()), paths.raw_news)
     return tb.read_table(spark, paths.raw_news)
 
@@ -48,11 +57,16 @@ def prepare_market(spark, paths, split_dates=None, keys=SERIES, fill_value=0.0,
     return tb.read_table(spark, paths.prepared_market)
 
 
-def _news_input(spark, paths):
+def _news_input(spark, paths, zone):
+    """Valid records; the invalid ones go to the table ``rejected_news``, ids with several records to ``surplus_news``."""
     for name in ("raw_news", "news"):
         path = getattr(paths, name)
         if tb.path_exists(spark, path):
-            return art.load_news(spark, path)
+            records = cut(art.normalize_articles(tb.read_table(spark, path, multi_line=True), zone))
+            tb.write_table(art.rejected_articles(records), paths.rejected_news)
+            valid = art.valid_articles(records)
+            tb.write_table(art.surplus_ids(valid), paths.surplus_news)
+            return valid
     LOG.warning("no news table at %s or %s; going on with an empty one", paths.raw_news, paths.news)
     return spark.createDataFrame([], ARTICLE_SCHEMA)
 
@@ -63,7 +77,7 @@ def prepare_news(spark, paths, zone="Asia/Shanghai", close="15:00", threshold=0.
     prepared = paths.prepared_market
     bars = (tb.read_table(spark, prepared) if tb.path_exists(spark, prepared) else tb.load_market(spark, paths.market))
     days = cut(cal.trade_calendar(bars))
-    news = art.first_per_id(_news_input(spark, paths))
+    news = art.first_per_id(_news_input(spark, paths, zone))
     tb.write_table(cleaning.clean_news(news, title_fallback), paths.cleaned_news)
     cleaned = tb.read_table(spark, paths.cleaned_news)
     tb.write_table(dedup.dedup_news(cleaned, threshold, window_hours), paths.deduped_news)

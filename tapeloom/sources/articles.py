@@ -7,24 +7,33 @@ from ..functions import text as X
 from .tables import read_table
 
 
-def _timestamp(df, name):
+def wall_time(c, zone):
+    """Time of a text as wall time in ``zone``: an offset (``Z``, ``+08:00``, ``+0800``) is converted, else the text is local."""
+    text = F.trim(X.as_col(c))
+    offset = text.rlike(r"[:0-9](\s*[A-Za-z]{1,3}|\s*[+-]\d{2}:?\d{2})$") & text.rlike(r"\d:\d")
+    spelled = F.regexp_replace(text, r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
+    instant = F.convert_timezone(None, F.lit(zone), F.try_to_timestamp(spelled).cast("timestamp_ntz"))
+    return F.when(offset, instant).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def _timestamp(df, name, zone):
     kind = dict(df.dtypes)[name]
     if kind in ("timestamp", "timestamp_ntz"):
         return F.col(name)
-    return F.expr(f"try_cast(`{name}` as timestamp_ntz)")
+    return wall_time(F.col(f"`{name}`").cast("string"), zone)
 
 
-def normalize_articles(df):
+def normalize_articles(df, zone="Asia/Shanghai"):
     """Article records with the 18 contract columns first, other columns after them, and ``reject_reason``.
 
     Missing ids and URLs are made from the other fields. ``reject_reason`` is NULL for a valid record, else the first
-    required field that is missing.
+    required field that is missing. Times given as text become wall time in ``zone``.
     """
     def text(name):
         return X.blank_if_null(F.col(name).cast("string")) if name in df.columns else F.lit("")
 
-    times = {"publish_time": _timestamp(df, "publish_time")}
-    crawl = _timestamp(df, "crawl_time") if "crawl_time" in df.columns else F.lit(None)
+    times = {"publish_time": _timestamp(df, "publish_time", zone)}
+    crawl = _timestamp(df, "crawl_time", zone) if "crawl_time" in df.columns else F.lit(None)
     times["crawl_time"] = F.coalesce(crawl, times["publish_time"])
     source = X.strip(F.coalesce(X.null_if_blank(text("source")), F.lit("legacy_input")))
     df = df.withColumns({**times, "_source": source, "_title": X.strip(text("title")), "_url": X.strip(text("url")),
@@ -69,14 +78,14 @@ def rejected_articles(normalized):
     return normalized.where("reject_reason is not null")
 
 
-def news_table(df, strict=False):
+def news_table(df, strict=False, zone="Asia/Shanghai"):
     """Validated article records of a raw news table."""
     require_columns(df, RAW_NEWS, "news")
-    return valid_articles(normalize_articles(df), strict)
+    return valid_articles(normalize_articles(df, zone), strict)
 
 
-def load_news(spark, path, strict=False):
-    return news_table(read_table(spark, path), strict)
+def load_news(spark, path, strict=False, zone="Asia/Shanghai"):
+    return news_table(read_table(spark, path, multi_line=True), strict, zone)
 
 
 def first_per_id(articles, order=("source", "publish_time")):

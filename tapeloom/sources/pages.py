@@ -11,7 +11,7 @@ from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
 from ..functions.markup import Outline, extract_links, outline_attr, outline_text
-from .articles import normalize_articles
+from .articles import normalize_articles, wall_time
 
 SOURCES_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("adapter", T.StringType()),
@@ -84,7 +84,7 @@ def missing_details(links, pages):
     return links.join(pages.select(F.col("url").alias("link")), "link", "left_anti")
 
 
-def parse_articles(details, sources, crawl_time=None, adapters=None):
+def parse_articles(details, sources, crawl_time=None, adapters=None, zone="Asia/Shanghai"):
     """Article records of fetched pages, with ``parse_error`` and ``reject_reason``; nothing is dropped.
 
     ``crawl_time`` is one NTZ timestamp column for the run (default: now). A ``publish_time`` column of ``details``
@@ -107,7 +107,7 @@ def parse_articles(details, sources, crawl_time=None, adapters=None):
             yield pd.concat([frame[kept], found], axis=1)
 
     parsed = joined.select(*kept, "html", "adapter", "selectors").mapInPandas(run, schema)
-    published = F.expr("try_cast(publish_raw as timestamp_ntz)")
+    published = wall_time("publish_raw", zone)
     if "publish_time" in kept:
         published = F.coalesce(published, F.col("publish_time"))
     now = F.current_timestamp().cast("timestamp_ntz") if crawl_time is None else crawl_time
@@ -117,4 +117,4 @@ def parse_articles(details, sources, crawl_time=None, adapters=None):
     extra = [c for c in kept if c not in ("source", "link", "publish_time")]
     out = titled.select("news_id", "source", "url", "title", "publish_time", "content", "crawl_time", "channel",
                         "parse_error", *[c for c in extra if c not in ("start_idx", "pos")])
-    return normalize_articles(out)
+    return normalize_articles(out, zone)

@@ -1,6 +1,6 @@
 """Tables on disk, chosen by suffix."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..contracts import MARKET_SCHEMA, RAW_MARKET, require_columns
 from ..functions.numeric import finite
@@ -15,14 +15,19 @@ def _format(path):
     raise ValueError(f"unknown table format: {path}")
 
 
-def read_table(spark, path, schema=None):
-    """CSV with a header or Parquet. CSV without ``schema`` has its types inferred from the data."""
+def read_table(spark, path, schema=None, multi_line=False):
+    """CSV with a header or Parquet.
+
+    CSV without ``schema`` takes the contract's types for the columns it names and strings for all others; nothing is
+    guessed from the data. ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    """
     kind = _format(path)
     reader = spark.read
     if kind == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
         if schema is None:
-            return reader.option("inferSchema", True).option("preferDate", True).csv(str(path))
+            known = {f.name: f for f in MARKET_SCHEMA}
+            schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in _header(spark, path)])
         return reader.schema(schema).csv(str(path))
     return (reader.schema(schema) if schema is not None else reader).parquet(str(path))
 
@@ -53,8 +58,7 @@ def market_table(df):
 
 
 def load_market(spark, path):
-    schema = MARKET_SCHEMA if _format(path) == "csv" and _header(spark, path) == RAW_MARKET else None
-    return market_table(read_table(spark, path, schema))
+    return market_table(read_table(spark, path))
 
 
 def _header(spark, path):
