@@ -13,7 +13,7 @@ from pyspark.sql import Window, functions as F
 
 from tapeloom.functions.storage import cut
 from tapeloom.llm import decontaminate, jaccard, mixing, token_file, toxicity
-from tapeloom.llm.common import SPACE, WORD, broadcast_if_small, shuffle_partitions, table, word_count
+from tapeloom.llm.common import SPACE, WORD, broadcast_if_small, pack, shuffle_partitions, table, unpack, word_count
 from tapeloom.llm.files import shared_folder
 from tapeloom.llm.queries import tokenizer_path
 
@@ -39,18 +39,23 @@ def remove_near_duplicates(spark, docs, sf_dir):
     losers = broadcast_if_small(nodes.join(first.select(F.col("root").alias("_r"), F.col("least").alias("_id"), F.col("text_hash").alias("_h")),
                             (F.col("root") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")),
                             "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")))
-    kept = docs.join(losers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    kept = unpack(_keyed(docs, losers, "left_anti"))
     again = joined.where("root is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
     return _once(kept, cut(again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))))
 
 
+def _keyed(docs, other, how):
+    """Packed documents joined to rows of (_id, _h) by id and text hash."""
+    match = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_h"))
+    return pack(docs).join(other, match, how)
+
+
 def _once(docs, repeated):
     """Of rows that repeat id and text, one."""
     if repeated.isEmpty():
         return docs
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    single = docs.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(repeated, match, "left_anti").unionByName(single)
+    single = unpack(_keyed(docs, repeated, "left_semi")).dropDuplicates(["doc_id", "text"])
+    return unpack(_keyed(docs, repeated, "left_anti")).unionByName(single)
 
 
 def remove_contaminated(spark, docs, sf_dir):
@@ -66,16 +71,18 @@ def mix_sources(spark, docs, sf_dir):
     copies = mixed.groupBy("doc_id", "source", "text_hash", "size").agg(
         F.flatten(F.collect_list("copies")).alias("copies"), F.count("*").alias("rows")).where("size(copies) > 0")
     copies = cut(copies).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "size", "copies", "rows")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64("text") == F.col("_h"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.lit(1)))
-    found = docs.join(copies, match)
+    found = _keyed(docs, copies, "inner").where(F.col("row.source").eqNullSafe(F.col("_s")))
     if not copies.where("rows > 1").isEmpty():  # repeated rows share their copies
+        nth = F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.lit(1)))
         found = found.withColumn("nth", nth).withColumn("copies", F.expr("filter(copies, (c, i) -> i % rows = nth - 1)"))
-    taken = found.select(*docs.columns, "size", F.explode("copies").alias("c"))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"([{SPACE}]*{WORD})"))
-    text = F.when(F.col("c.words") < F.col("size"), mixing.cut_to_words(F.col("text"), F.col("c.words"), pieces)).otherwise(F.col("text"))
-    placed = taken.repartitionByRange(shuffle_partitions(spark), "c.time", "doc_id", "c.copy").sortWithinPartitions("c.time", "doc_id", "c.copy")
-    return placed.select(*[(F.length(text).cast("long") if c == "n_chars" else text if c == "text" else F.col(c)).alias(c) for c in docs.columns])
+    taken = found.select("row", "size", F.explode("copies").alias("c"))
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(rf"([{SPACE}]*{WORD})"))
+    shorter = F.col("c.words") < F.col("size")
+    text = F.when(shorter, mixing.cut_to_words(F.col("row.text"), F.col("c.words"), pieces)).otherwise(F.col("row.text"))
+    order = ["c.time", "row.doc_id", "c.copy"]
+    placed = taken.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    chars = F.when(shorter, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return unpack(placed, text=text, n_chars=chars).select(*docs.columns)
 
 
 def write_tokens(spark, docs, sf_dir):

@@ -4,7 +4,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, pack, unpack
 
 # Fixed value: a word is a run of ASCII letters and digits (after lower-casing A-Z) and anything beyond ASCII.
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
@@ -113,23 +113,27 @@ def merged(spans):
     return F.aggregate(spans, F.slice(spans, 1, 0), add)
 
 
+def _matched(docs, marks, doc_id, text, how):
+    """Packed documents joined to the marked ones by id and text hash."""
+    key, hashed = F.col("row")[doc_id], F.xxhash64(F.col("row")[text])
+    return pack(docs).join(broadcast_if_small(marks), key.eqNullSafe(F.col("_id")) & (hashed == F.col("_text")), how)
+
+
 def remove_documents(docs, report, doc_id="doc_id", text="text"):
     """Documents without a hit, all columns as they are."""
-    bad = _marks(report).select("_id", "_text")
-    match = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text"))
-    return docs.join(broadcast_if_small(bad), match, "left_anti")
+    return unpack(_matched(docs, _marks(report).select("_id", "_text"), doc_id, text, "left_anti"))
 
 
 def remove_spans(docs, report, doc_id="doc_id", text="text"):
     """All documents; the words in hit spans go, with what stands between them and the next word, from texts with hits."""
-    bad = _marks(report)
-    match = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text"))
-    out = docs.join(broadcast_if_small(bad), match, "left")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(WORD.replace(r"\x3A-\x60\x7B", r"\x3A-\x40\x5B-\x60\x7B")[:-1] + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"))
-    kept = F.filter(F.transform(pieces, lambda w, i: F.when(
-        ~F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["end"])), w)), lambda w: w.isNotNull())
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
-    return out.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    out = _matched(docs, _marks(report), doc_id, text, "left")
+    value = F.col("row")[text]
+    other = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+    pieces = F.regexp_extract_all(value, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" + other + ")"))
+    out = out.withColumn("pieces", F.when(F.col("_spans").isNotNull(), pieces))
+    kept = F.filter("pieces", lambda w, i: ~F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
+    clean = F.when(F.col("_spans").isNull(), value).otherwise(F.array_join(kept, ""))
+    return unpack(out, **{text: clean}).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _marks(report):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import join_heavy
 from ..functions.storage import cut
+from .common import pack, unpack
 
 DEPTH, CONSTANT = 3, 0.8
 BROADCAST_LEAVES = 1_000_000
@@ -73,13 +74,12 @@ def drop_recurring_lines(docs, text="text", doc_id="doc_id", depth=DEPTH, consta
     marked = cut(spread.where("first is not null").select("line", "first", "rows"))
     hits = join_heavy(narrow.select("doc", "text_hash", "pos", "line"), marked, "line", "rows").where("first < doc")
     dropped = hits.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("_dropped"))
-    keyed = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
-    match = (F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))) == F.col("_doc")) & (F.xxhash64(text) == F.col("_hash"))
-    out = keyed.join(dropped.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), "_dropped"), match, "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_dropped"))
-    clean = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.coalesce(F.when(F.col(text) != "", F.size(parts)), F.lit(0))
-    return out.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in keyed.columns], n_lines.alias("n_lines"),
-                      F.coalesce(F.size("_dropped"), F.lit(0)).alias("n_dropped"))
-
+    key, value = F.coalesce(F.col("row")[doc_id].cast("long"), F.lit(-(1 << 63))), F.col("row")[text]
+    match = (key == F.col("doc")) & (F.xxhash64(value) == F.col("text_hash"))
+    out = pack(docs).join(dropped, match, "left").withColumn("parts", F.split(value, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("_dropped"))
+    clean = F.when(F.col("_dropped").isNull(), value).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
+    added = {text: clean, "n_lines": F.coalesce(F.when(value != "", F.size("parts")), F.lit(0)),
+             "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0))}
+    same = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return unpack(out, **added).select(*[f"`{c}`" for c in same], "n_lines", "n_dropped")
