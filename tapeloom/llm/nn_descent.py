@@ -85,24 +85,32 @@ def _top(edges, degree):
         F.sort_array(F.collect_list(F.struct("sim", "nbr", "new")), asc=False).alias("nbrs"))
 
 
-def _first_edges(nodes, tree, degree):
-    """Neighbours inside blocks of rows that lie together in a random partition: signs of hyperplanes, then a projection."""
+def _first_edges(nodes, degree):
+    """Neighbours inside blocks of rows that lie together in one of ``TREES`` random partitions.
+
+    A partition orders the nodes by the signs of hyperplanes, then by a projection; all partitions are dealt out at once.
+    """
     def place(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch["half"], "<f2").astype(np.float32)
-            planes = np.random.default_rng(tree).standard_normal((x.shape[1], BITS + 1)).astype(np.float32)
-            y = x @ planes
-            yield batch.assign(code=(y[:, :BITS] > 0) @ (1 << np.arange(BITS)[::-1]), along=y[:, BITS].astype(np.float64))
+            for tree in range(TREES):
+                planes = np.random.default_rng(tree).standard_normal((x.shape[1], BITS + 1)).astype(np.float32)
+                y = x @ planes
+                yield batch.assign(tree=tree, code=(y[:, :BITS] > 0) @ (1 << np.arange(BITS)[::-1]), along=y[:, BITS].astype(np.float64))
 
     def block_edges(batches):
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat((held, batch), ignore_index=True)
-            while len(held) >= 2 * BLOCK:
-                yield edges(held.iloc[:BLOCK])
-                held = held.iloc[BLOCK // 2:].reset_index(drop=True)
+            for tree, part in batch.groupby("tree", sort=True):
+                if held is not None and held["tree"].iloc[0] != tree:
+                    yield edges(held)
+                    held = None
+                held = part if held is None else pd.concat((held, part), ignore_index=True)
+                while len(held) >= 2 * BLOCK:
+                    yield edges(held.iloc[:BLOCK])
+                    held = held.iloc[BLOCK // 2:].reset_index(drop=True)
         if held is not None and len(held):
             yield edges(held)
 
@@ -116,9 +124,10 @@ def _first_edges(nodes, tree, degree):
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         return pd.DataFrame({"node": np.repeat(ids, k), "nbr": ids[near].ravel(), "sim": np.take_along_axis(sims, near, 1).ravel()})
 
-    placed = nodes.select("node", "half").mapInPandas(place, "node long, half binary, code long, along double")
-    dealt = placed.repartitionByRange(_parts(nodes), "code", "along", "node").sortWithinPartitions("code", "along", "node")
-    return dealt.select("node", "half").mapInPandas(block_edges, "node long, nbr long, sim float")
+    placed = nodes.select("node", "half").mapInPandas(place, "node long, half binary, tree int, code long, along double")
+    order = ["tree", "code", "along", "node"]
+    dealt = placed.repartitionByRange(_parts(nodes), *order).sortWithinPartitions(*order)
+    return dealt.select("tree", "node", "half").mapInPandas(block_edges, "node long, nbr long, sim float")
 
 
 def _parts(df):
@@ -183,11 +192,7 @@ def build_graph(nodes):
     every node's neighbours, forward and reverse, with their vectors and compares them with each other; a node keeps the
     ``DEGREE`` best it has met. Rounds go on until fewer than ``LEAST_CHANGE`` of all edges change.
     """
-    first = None
-    for tree in range(TREES):
-        some = _first_edges(nodes, tree, DEGREE)
-        first = some if first is None else first.union(some)
-    graph = cut(_top(first.withColumn("new", F.lit(True)), DEGREE))
+    graph = cut(_top(_first_edges(nodes, DEGREE).withColumn("new", F.lit(True)), DEGREE))
     edges = nodes.count() * DEGREE
     while True:
         better = _local_joins(_both_ways(graph), nodes, graph).withColumn("new", F.lit(True))
