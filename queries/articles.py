@@ -1,7 +1,5 @@
 """Tables, article records, cleaning, duplicates and trading days."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as X
@@ -18,12 +16,10 @@ LOOSE = 0.8
 
 # ---------------------------------------------------------------- tables and records
 
-@query("scan_lineitem", """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice FROM lineitem
-                           WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'""")
+@query("scan_lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice FROM lineitem")
 def scan_lineitem(spark, d):
     li = tb.read_table(spark, f"{d}/lineitem.parquet")
-    return li.where("l_shipdate >= timestamp_ntz'1998-01-01 00:00:00'").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
 
 
 @query("roundtrip_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
@@ -233,13 +229,14 @@ def open_titles(spark, d):
     return flags.where("duplicate_reason = ''").select("news_id", "publish_time", "title_clean", "content_len")
 
 
-_GRAMS = ("list_transform(range(1, greatest(length({t}), 1)), lambda i: substr({t}, i, 2) || '#' || "
-          "len(list_filter(range(1, i + 1), lambda j: substr({t}, j, 2) = substr({t}, i, 2))))")
-
 _CANDIDATES = f"""WITH {_KEYED},
 seen AS MATERIALIZED (SELECT DISTINCT sha1(title_clean) AS tid, title_clean AS title,
           CAST(floor(epoch(publish_time) / (3600 * {WINDOW})) AS BIGINT) AS b FROM flags WHERE duplicate_reason = ''),
-grams AS MATERIALIZED (SELECT tid, title, {_GRAMS.format(t='title')} AS g FROM (SELECT DISTINCT tid, title FROM seen)),
+pairs AS (SELECT tid, title, i, c[i] || c[i + 1] AS gram
+          FROM (SELECT tid, title, c, unnest(range(1, len(c))) AS i
+                FROM (SELECT DISTINCT tid, title, string_split(title, '') AS c FROM seen))),
+grams AS MATERIALIZED (SELECT tid, any_value(title) AS title, list(gram || '#' || n) AS g
+          FROM (SELECT *, row_number() OVER (PARTITION BY tid, gram ORDER BY i) AS n FROM pairs) GROUP BY tid),
 met AS (SELECT DISTINCT least(x.tid, y.tid) AS src, greatest(x.tid, y.tid) AS dst
         FROM seen x JOIN seen y ON y.b IN (x.b, x.b + 1) AND x.tid <> y.tid),
 shared AS (SELECT src, dst, CAST(len(list_intersect(x.g, y.g)) AS INTEGER) AS n_shared, length(x.title) AS a, length(y.title) AS c
@@ -285,3 +282,22 @@ def time_band_pairs(spark, d):
 def assign_trade_dates(spark, d):
     out = cal.assign_trade_dates(news(spark, d), calendar(spark, d))
     return out.select("news_id", "publish_time", "trade_date", "publish_date")
+
+
+@query("dedup_root", "SELECT 'd' || doc_id AS news_id, 'd' || ((doc_id // 50) * 50) AS root_news_id FROM documents")
+def dedup_root(spark, d):
+    """Every article points to the one before it, in chains of fifty; the root is the first of the chain."""
+    i = F.col("doc_id")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    chain = table(spark, d, "documents").select(name(i).alias("news_id"), name(F.when(i % 50 == 0, i).otherwise(i - 1)).alias("canonical_news_id"))
+    return dedup.with_root(chain).select("news_id", "root_news_id")
+
+
+@query("load_news_zoned", f"""WITH {NEWS} SELECT news_id, publish_time + to_hours(CASE CAST(substr(news_id, 2) AS BIGINT) % 4
+         WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 13 ELSE 0 END) AS publish_time FROM news""")
+def load_news_zoned(spark, d):
+    """Publication times as text, three in four with an offset, become market time."""
+    i = F.substring("news_id", 2, 20).cast("long") % 4
+    offset = F.when(i == 0, "Z").when(i == 1, "+02:00").when(i == 2, "-0500").otherwise("")
+    raw = news(spark, d).withColumn("publish_time", F.concat(F.date_format("publish_time", "yyyy-MM-dd'T'HH:mm:ss"), offset))
+    return art.normalize_articles(raw).select("news_id", "publish_time")
