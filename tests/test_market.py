@@ -19,43 +19,60 @@ def series(seed, n, symbol):
     return frame
 
 
-def reference_features(f):
-    """The same features with pandas rolling windows."""
-    c, v = f["close"], f["volume"]
-
-    def nz(x):
-        return x.replace(0.0, np.nan)
-
-    o = pd.DataFrame(index=f.index)
-    for n in (1, 2, 3, 5, 10, 20):
-        o[f"ret_{n}"] = c / nz(c.shift(n)) - 1
-    for n in (5, 10, 20):
-        o[f"volatility_{n}"] = o["ret_1"].rolling(n).apply(lambda w: np.std(w, ddof=1))
-        o[f"ma_{n}"] = c.rolling(n).apply(np.mean)
-        o[f"ma_gap_{n}"] = c / nz(o[f"ma_{n}"]) - 1
-    o["hl_range"], o["oc_return"] = (f["high"] - f["low"]) / nz(c), (c - f["open"]) / nz(f["open"])
-    o["gap_return"] = f["open"] / nz(c.shift(1)) - 1
-    d = c.diff()
-    gain, loss = d.clip(lower=0).rolling(14).apply(np.mean), (-d).clip(lower=0).rolling(14).apply(np.mean)
-    o["rsi_14"] = 100 - 100 / (1 + gain / nz(loss))
-    o["momentum_5"], o["momentum_10"] = c.diff(5), c.diff(10)
-    for n in (1, 5):
-        o[f"volume_change_{n}"] = v / nz(v.shift(n)) - 1
-    for n in (5, 10):
-        values = []
-        for i in range(len(f)):
-            x, y = o["ret_1"].iloc[max(0, i - n + 1):i + 1], o["volume_change_1"].iloc[max(0, i - n + 1):i + 1]
-            good = len(x) == n and x.notna().all() and y.notna().all() and x.std() > 1e-12 and y.std() > 1e-12
-            values.append(np.corrcoef(x, y)[0, 1] if good else np.nan)
-        o[f"price_volume_corr_{n}"] = values
-    vol = o["volatility_20"]
-    o["trend_regime"] = (o["ma_gap_20"] > 0).astype(int)
-    o["vol_regime"] = (vol > vol.rolling(60, min_periods=20).median()).astype(int)
-    o["drawdown_state"] = (c / nz(c.cummax()) - 1 <= -0.1).astype(int)
-    o[MARKET_FEATURES] = o[MARKET_FEATURES].fillna(0.0)
-    o["next_ret_1"] = c.shift(-1) / nz(c) - 1
-    o["next_oc_return"] = c.shift(-1) / nz(f["open"].shift(-1)) - 1
-    return o
+def by_hand(f):
+    """The features of one series row by row, from their definitions; None where a window is short or a divisor is 0."""
+    rows = f.to_dict("records")
+    close = [r["close"] for r in rows]
+
+    def over(a, b):
+        return None if a is None or not b else a / b - 1
+
+    def tail(values, i, n):
+        part = values[max(0, i - n + 1):i + 1]
+        return part if len(part) == n and None not in part else None
+
+    def spread(part):
+        mean = sum(part) / len(part)
+        return (sum((x - mean) ** 2 for x in part) / (len(part) - 1)) ** 0.5
+
+    def step(values, i, n):
+        return over(values[i], values[i - n]) if i >= n else None
+
+    ret = [step(close, i, 1) for i in range(len(rows))]
+    traded = [step([r["volume"] for r in rows], i, 1) for i in range(len(rows))]
+    vol20 = [spread(p) if (p := tail(ret, i, 20)) else None for i in range(len(rows))]
+    out = []
+    for i, r in enumerate(rows):
+        x = {f"ret_{n}": step(close, i, n) for n in (1, 2, 3, 5, 10, 20)}
+        for n in (5, 10, 20):
+            x[f"volatility_{n}"] = spread(p) if (p := tail(ret, i, n)) else None
+            x[f"ma_{n}"] = sum(p) / n if (p := tail(close, i, n)) else None
+            x[f"ma_gap_{n}"] = over(r["close"], x[f"ma_{n}"])
+        x["hl_range"] = (r["high"] - r["low"]) / r["close"] if r["close"] else None
+        x["oc_return"] = over(r["close"], r["open"])
+        x["gap_return"] = over(r["open"], close[i - 1]) if i else None
+        moves = [close[k] - close[k - 1] for k in range(i - 13, i + 1)] if i >= 14 else []
+        fell = -sum(m for m in moves if m < 0)
+        x["rsi_14"] = 100 - 100 / (1 + sum(m for m in moves if m > 0) / fell) if fell else None
+        for n in (5, 10):
+            x[f"momentum_{n}"] = close[i] - close[i - n] if i >= n else None
+            a, b = tail(ret, i, n), tail(traded, i, n)
+            flat = not a or not b or spread(a) <= 1e-12 or spread(b) <= 1e-12
+            x[f"price_volume_corr_{n}"] = None if flat else float(np.corrcoef(a, b)[0, 1])
+        for n in (1, 5):
+            x[f"volume_change_{n}"] = step([q["volume"] for q in rows], i, n)
+        known = sorted(v for v in vol20[max(0, i - 59):i + 1] if v is not None)
+        middle = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2 if len(known) >= 20 else None
+        x["trend_regime"] = int(x["ma_gap_20"] is not None and x["ma_gap_20"] > 0)
+        x["vol_regime"] = int(None not in (vol20[i], middle) and vol20[i] > middle)
+        below = over(r["close"], max(close[:i + 1]))
+        x["drawdown_state"] = int(below is not None and below <= -0.1)
+        x = {k: 0.0 if v is None else v for k, v in x.items()}
+        after = rows[i + 1] if i + 1 < len(rows) else None
+        x["next_ret_1"] = over(after["close"], r["close"]) if after else None
+        x["next_oc_return"] = over(after["close"], after["open"]) if after else None
+        out.append(x)
+    return pd.DataFrame(out).astype(float)
 
 
 @pytest.fixture(scope="module")
@@ -64,14 +81,14 @@ def frames():
 
 
 @pytest.mark.parametrize("block_rows", [None, 79, 100])
-def test_features_match_pandas(spark, frames, block_rows):
+def test_features_match_the_definitions(spark, frames, block_rows):
     bars = spark.createDataFrame(pd.concat(frames), "symbol string, trade_date date, open double, high double, low double, close double, volume double")
     got = market.market_features(bars, {"train_end": "2020-06-30", "valid_end": "2020-09-30", "test_end": "2020-11-30"},
                                  block_rows=block_rows).toPandas()
     assert len(got) == sum(map(len, frames))
     for frame in frames:
         mine = got[got.symbol == frame.symbol[0]].sort_values("trade_date").reset_index(drop=True)
-        want = reference_features(frame)
+        want = by_hand(frame)
         for c in MARKET_FEATURES + ["next_ret_1", "next_oc_return"]:
             np.testing.assert_allclose(mine[c].astype(float), want[c].astype(float), rtol=1e-7, atol=1e-7, err_msg=c)
         assert np.isnan(mine["y_cls"].iloc[-1])
@@ -81,7 +98,7 @@ def test_features_match_pandas(spark, frames, block_rows):
 def test_one_series_without_a_key_in_blocks(spark, frames):
     bars = spark.createDataFrame(frames[0].drop(columns="symbol"), "trade_date date, open double, high double, low double, close double, volume double")
     got = market.market_features(bars, keys=(), block_rows=79).toPandas().sort_values("trade_date").reset_index(drop=True)
-    want = reference_features(frames[0])
+    want = by_hand(frames[0])
     np.testing.assert_allclose(got["rsi_14"], want["rsi_14"], rtol=1e-7)
     np.testing.assert_array_equal(got["vol_regime"], want["vol_regime"])
     np.testing.assert_array_equal(got["drawdown_state"], want["drawdown_state"])
