@@ -18,7 +18,8 @@ from .test_models import corpus
 def inputs(spark, rows, tmp_path_factory):
     folder = tmp_path_factory.mktemp("sf")
     docs, labels = corpus(spark, n=300)
-    docs = docs.unionByName(frame(spark, [(1000 + (i or 0), *r) for i, *r in rows]))
+    place = {r: n for n, r in enumerate(rows)}  # rows that repeat keep one id, all others have their own
+    docs = docs.unionByName(frame(spark, [(1000 + place[r], *r[1:]) for r in rows]))
     docs.write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
