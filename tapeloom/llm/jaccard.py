@@ -9,6 +9,7 @@ from . import textmath
 from .common import broadcast_if_small, shuffle_partitions
 
 HOT, MAX_HOT, GROUP = 16, 500_000, 64
+PAIRS = 200_000  # pairs a task holds at once
 NUM, DEN = 4, 5  # Jaccard threshold NUM / DEN
 
 
@@ -49,24 +50,19 @@ def lengthened(tokens, hot, rank):
     return np.concatenate((cool, warm[order][:p - len(cool)]))
 
 
-def _sets(texts, width):
-    for first, data in textmath.chunks(texts):
-        for i, tokens in enumerate(textmath.shingle_sets(data, width)):
-            yield first + i, tokens
-
-
 def _token_counts(docs, text, width, pick, least):
     """Frequencies above ``least`` of the tokens that ``pick`` takes from each set, the ``MAX_HOT`` largest."""
 
     def emit(batches):
         seen = set()
         for batch in batches:
-            parts = []
-            for _, tokens in _sets(batch["t"], width):
-                if len(tokens) and (node := node_of(tokens)) not in seen:  # copies in a task count once
-                    seen.add(node)
-                    parts.append(pick(tokens))
-            yield pd.DataFrame({"token": np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)})
+            for _, data in textmath.chunks(batch["t"]):
+                parts = [np.zeros(0, np.uint64)]
+                for tokens in textmath.shingle_sets(data, width):
+                    if len(tokens) and (node := node_of(tokens)) not in seen:  # copies in a task count once
+                        seen.add(node)
+                        parts.append(pick(tokens))
+                yield pd.DataFrame({"token": np.concatenate(parts).view(np.int64)})
 
     counts = docs.select(F.col(text).alias("t")).mapInPandas(emit, "token long").groupBy("token").agg(F.count("*").alias("n"))
     top = counts.where(F.col("n") > least).orderBy(F.desc("n"), "token").limit(MAX_HOT).toPandas()
@@ -138,8 +134,9 @@ def _scan(batches):
                 continue
             rows_at = edge[~large & (sizes == size)][:, None] + np.arange(size)
             i, j = np.triu_indices(size, 1)
-            for block in range(0, len(rows_at), 20_000):
-                m = rows_at[block:block + 20_000]
+            step = max(1, PAIRS // len(i))
+            for block in range(0, len(rows_at), step):
+                m = rows_at[block:block + step]
                 left, right = m[:, i].ravel(), m[:, j].ravel()
                 fit = NUM * np.maximum(n[left], n[right]) <= DEN * np.minimum(n[left], n[right])
                 left, right = left[fit], right[fit]
@@ -227,18 +224,22 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
     def emit(batches):
         seen = set()
         for batch in batches:
-            n, nodes, parts = np.zeros(len(batch), np.int64), [None] * len(batch), [None] * len(batch)
-            for i, tokens in _sets(batch["t"], width):
-                if len(tokens):
-                    node = node_of(tokens)
-                    n[i], nodes[i] = len(tokens), int(node.view(np.int64))
-                    if node not in seen:
-                        seen.add(node)
-                        parts[i] = lengthened(tokens, hot, rank).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "node": pd.array(nodes, "Int64"),
-                                "n": n, "prefix": parts})
-
-    base = cut(rows.mapInPandas(emit, f"doc_id {id_type}, text_hash long, node long, n long, prefix array<bigint>"))
+            for first, data in textmath.chunks(batch["t"]):
+                sets = textmath.shingle_sets(data, width)
+                nodes, parts = [None] * len(sets), [None] * len(sets)
+                for i, tokens in enumerate(sets):
+                    if len(tokens):
+                        node = node_of(tokens)
+                        nodes[i] = int(node.view(np.int64))
+                        if node not in seen:
+                            seen.add(node)
+                            parts[i] = lengthened(tokens, hot, rank).view(np.int64)
+                some = batch[["doc_id", "text_hash"]].iloc[first:first + len(sets)]
+                yield some.assign(node=pd.array(nodes, "Int64"), n=[len(x) for x in sets], prefix=parts)
+
+    named = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with NULLs into floats
+    base = named.mapInPandas(emit, "doc_id string, text_hash long, node long, n long, prefix array<bigint>")
+    base = cut(base.withColumn("doc_id", F.col("doc_id").cast(id_type)))
     tokens = base.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "node", "n")
     dealt = tokens.repartition(shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "node")
     met = cut(dealt.mapInPandas(_scan, "big boolean, a long, b long, na long, nb long, pos long, near boolean"))
@@ -268,10 +269,12 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
 
     def whole(batches):
         for batch in batches:
-            parts = [tokens for _, tokens in _sets(batch["t"], width)]
-            yield pd.DataFrame({"node": batch["node"], "whole": [p.tobytes() for p in parts],
-                                "small": [np.unique((p >> np.uint64(32)).astype(np.uint32)).tobytes() for p in parts],
-                                "extra": [len(p) - len(np.unique((p >> np.uint64(32)).astype(np.uint32))) for p in parts]})
+            nodes = batch["node"].to_numpy()
+            for first, data in textmath.chunks(batch["t"]):
+                parts = textmath.shingle_sets(data, width)
+                short = [np.unique((p >> np.uint64(32)).astype(np.uint32)) for p in parts]
+                yield pd.DataFrame({"node": nodes[first:first + len(data)], "whole": [p.tobytes() for p in parts],
+                                    "small": [p.tobytes() for p in short], "extra": [len(p) - len(q) for p, q in zip(parts, short)]})
 
     sets = cut(found.select("node", "t").mapInPandas(whole, "node long, whole binary, small binary, extra int")
                .dropDuplicates(["node"]))
