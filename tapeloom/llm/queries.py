@@ -8,6 +8,13 @@ from .common import table, utf8_size, word_count
 QUERIES, ORACLES = {}, {}
 
 
+_FOLD = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_words(c, pattern):
+    return f"regexp_extract_all({_FOLD.format(c=c)}, '{pattern}')"
+
+
 def tokenizer_path():
     """Where the public tokenizer file lies on this machine."""
     import public_tokenizers
@@ -35,7 +42,24 @@ def op3_hilbert_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-@query("op7_decontaminate")
+_BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op7_decontaminate", f"""
+    with d as (select doc_id, {_sql_words('text', _BENCH_WORD)} as w from documents),
+    b as (select item_id, w, least(len(w), 10) as n from (select item_id, {_sql_words('text', _BENCH_WORD)} as w from benchmark)
+          where len(w) > 0),
+    g as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as win
+          from (select *, unnest(range(1, len(w) - n + 2)) as i from b)),
+    p as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+          from (select d.doc_id, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) as i from d, (select distinct n from g) l)),
+    h as (select p.doc_id, p.n, p.i, g.item_id from p join g on p.n = g.n and p.win = g.win),
+    c as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + n)) as x from h) group by doc_id),
+    t as (select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ids
+          from (select distinct doc_id, cast(item_id as varchar) as k from h) group by doc_id)
+    select d.doc_id, len(d.w) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items,
+           sha256(coalesce(t.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+    from d left join c on c.doc_id = d.doc_id left join t on t.doc_id = d.doc_id""")
 def op7_decontaminate(spark, sf_dir):
     """Benchmark words inside every document."""
     report = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,7 +88,17 @@ def op10_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", f"""
+    with recursive w as (select doc_id, {_sql_words('text', r'[^\x20\x09-\x0D]+')} as w from documents),
+    s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+          from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    met as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+             group by a.doc_id, b.doc_id),
+    l as (select x, y from met join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+    reach(x, y) as (select doc_id, doc_id from w union select reach.x, l.y from reach join l on reach.y = l.x)
+    select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.y) as component_id
+    from w join reach on reach.x = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id""")
 def op5_jaccard_join(spark, sf_dir):
     """Every document with its number of 5-word shingles and its class of similar documents."""
     return jaccard.classes(jaccard.jaccard_join(table(spark, sf_dir, "documents")))
