@@ -8,6 +8,7 @@ from .common import pack, unpack
 
 DEPTH, CONSTANT = 3, 0.8
 BROADCAST_LEAVES = 1_000_000
+HOT_LINES = 20_000
 ANY = "<*>"
 
 # Fixed value: a token that holds an ASCII digit, taken whole and from its first character only.
@@ -27,31 +28,42 @@ def _lines(docs, text, doc_id, depth):
 
 
 def _templates(lines, depth, constant):
-    """(line, template) of the distinct ``lines`` of one leaf or more that have variable fields.
+    """(line, template) of the distinct ``lines`` of one leaf or more that share a template with another line.
 
-    A field is variable where lines agree outside it: they have the same sum of placed token hashes less that token's.
+    Each round looks at groups of lines, first the leaves. The lines that hold the token of most lines of their group in
+    ``constant`` of their places get one template; the others are dealt into smaller groups by the token in the place that
+    has the fewest different ones, and the next round looks at those. A group's counts are aggregates, so it is never gathered.
     """
-    lines = lines.where(F.col("n") > depth)
-    placed = F.transform("tokens", lambda t, i: F.pmod(F.xxhash64(t, i), F.lit(1 << 44)))
-    rows = lines.withColumn("hashes", placed).withColumn("whole", F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a + h))
-    rows = rows.select("leaf", "line", "n", "whole", F.posexplode("hashes").alias("place", "h")).where(F.col("place") >= depth)
-    rows = rows.select("leaf", "line", "n", "place", (F.col("whole") - F.col("h")).alias("others"))
-    keys = ["leaf", "n", "place", "others"]
-    several = cut(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))
-    found = join_heavy(rows, several, keys, "c").where("c is not null")
-    fields = found.groupBy("leaf", "line").agg(F.collect_set("place").alias("fields"))
-    rows = lines.join(fields, ["leaf", "line"]).where(F.col("n") - F.size("fields") >= F.lit(constant) * F.col("n"))
-    masked = F.transform("tokens", lambda t, i: F.when(F.array_contains("fields", i), F.lit(ANY)).otherwise(t))
-    return rows.select("line", F.xxhash64(masked, F.lit("template")).alias("template"))
+    hashes = F.transform(F.slice("tokens", depth + 1, F.col("n")), lambda t: F.xxhash64(t))
+    active = lines.where(F.col("n") > depth).select("line", "n", F.col("leaf").alias("node"), hashes.alias("rest"))
+    found = None
+    while True:
+        cells = active.select("node", F.posexplode("rest").alias("place", "h")).groupBy("node", "place", "h").agg(F.count("*").alias("c"))
+        places = cells.groupBy("node", "place").agg(
+            F.max(F.struct("c", "h")).alias("top"), F.count("*").alias("values"), F.sum("c").alias("lines"))
+        most = F.when(2 * F.col("top.c") > F.col("lines"), F.col("top.h"))
+        split = F.when(F.col("values") > 1, F.struct("values", -F.col("top.c"), "place"))
+        nodes = cut(places.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", most.alias("h")))).alias("common"),
+                                               F.min(split).alias("split"), F.max("lines").alias("lines")))
+        rows = join_heavy(active, nodes, "node", "lines", hot_rows=HOT_LINES)
+        same = F.size(F.filter(F.zip_with("rest", "common", lambda h, m: h.eqNullSafe(m["h"])), lambda equal: equal))
+        deal = F.xxhash64("node", "split.place", F.get("rest", F.col("split.place")))
+        rows = cut(rows.select("line", "n", "rest", "lines", "node", deal.alias("deal"),
+                               (same + depth >= F.lit(constant) * F.col("n")).alias("member")))
+        members = rows.where("member and lines > 1").select("line", F.xxhash64("node", F.lit("template")).alias("template"))
+        found = members if found is None else found.union(members)
+        active = rows.where("not member").select("line", "n", F.col("deal").alias("node"), "rest")
+        if active.isEmpty():
+            return found
 
 
 def drop_recurring_lines(docs, text="text", doc_id="doc_id", depth=DEPTH, constant=CONSTANT):
     """All documents, with ``text`` less the lines whose template stands in a document of smaller id, ``n_lines``, ``n_dropped``.
 
     The tree has two levels: token count, then the first ``depth`` tokens; tokens with a digit are wildcards from the
-    start. In a leaf, a further field is variable when two lines differ in it alone; a line with its variable fields
-    masked is its template, if at least ``constant`` of the tokens stay (else the line itself is). Only leaves with several
-    lines are looked into, by counts of lines that agree outside one field: no leaf is gathered in a task. Of a template
+    start. In a leaf, lines of which at least ``constant`` of the tokens are those of most lines in their group are one
+    template, whatever stands in the other places; lines far from it are looked at in smaller groups until each has a
+    template or is alone. Only leaves with several lines are looked into, by counts: no leaf is gathered in a task. Of a template
     found in several documents the one with the smallest id keeps its lines; all others drop theirs. Templates that only
     recur inside one document are left alone, blank lines are never dropped.
 

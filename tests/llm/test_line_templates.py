@@ -58,3 +58,26 @@ def test_without_rows_and_without_broadcast(spark, nothing, monkeypatch):
     assert line_templates.drop_recurring_lines(nothing).count() == 0
     monkeypatch.setattr(line_templates, "BROADCAST_LEAVES", 0)
     check(spark, list(enumerate(TEXTS)) + [(None, "footer text"), (3, TEXTS[3])])
+
+
+def kept(spark, *texts, **options):
+    """Texts of the documents 0, 1, ... after the drop."""
+    out = line_templates.drop_recurring_lines(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), **options)
+    return [r.text for r in sorted(out.collect(), key=lambda r: r.doc_id)]
+
+
+def test_lines_of_one_template_get_one_mask(spark):
+    line = "user went out of the house this morning {} {}".format
+    other = "user went out for a long walk through town again"
+    texts = [line("alice", "paris"), line("bob", "paris"), line("bob", "rome")]
+    assert kept(spark, *texts) == [texts[0], "", ""]
+    assert kept(spark, *texts[:2]) == [texts[0], ""]
+    assert kept(spark, "user went out by sea", *texts, line("carol", "oslo"), other) == ["user went out by sea", texts[0], "", "", "", other]
+
+
+def test_groups_of_one_leaf_are_told_apart(spark):
+    names = ["ann", "ben", "cy", "dora"]
+    first = [f"the job named {a} has ended well after a short while" for a in names]
+    second = [f"the job named {a} was stopped by hand and left there" for a in names]
+    out = kept(spark, *first, *second)
+    assert out == [first[0], "", "", "", second[0], "", "", ""]
