@@ -6,7 +6,7 @@ from ..functions.skew import join_heavy
 from ..functions.storage import cut
 from .common import pack, unpack
 
-DEPTH, CONSTANT = 3, 0.8
+DEPTH, CONSTANT = 3, 0.65
 BROADCAST_LEAVES = 1_000_000
 HOT_LINES = 20_000
 ANY = "<*>"

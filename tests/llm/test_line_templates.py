@@ -81,3 +81,19 @@ def test_groups_of_one_leaf_are_told_apart(spark):
     second = [f"the job named {a} was stopped by hand and left there" for a in names]
     out = kept(spark, *first, *second)
     assert out == [first[0], "", "", "", second[0], "", "", ""]
+
+
+def test_several_word_fields(spark):
+    names, towns, days = ["ann", "ben", "cy", "dora"], ["paris", "rome", "oslo", "bonn"], ["monday", "friday", "sunday", "tuesday"]
+    two = [f"login accepted for {a} at gate {b} today" for a, b in zip(names, towns)]
+    three = [f"the backup of {a} went to {b} on {c} without errors" for a, b, c in zip(names, towns, days)]
+    assert kept(spark, *two) == [two[0], "", "", ""]
+    assert kept(spark, *three) == [three[0], "", "", ""]
+    assert kept(spark, *two, *three) == [two[0], "", "", "", three[0], "", "", ""]
+
+
+def test_short_lines_may_have_a_word_field(spark):
+    assert kept(spark, "session closed for ann", "session closed for ben", "session closed by ben") == [
+        "session closed for ann", "", "session closed by ben"]
+    two = ["session closed for ann yesterday", "session closed for ben today"]
+    assert kept(spark, *two) == two
