@@ -122,6 +122,7 @@ def build_dataset(spark, paths, dim=16):
 
 
 def _training_table(spark, paths, text, dim):
+    """The model table, with the daily embeddings as ``emb_*`` columns if ``text`` asks for them and they are stored."""
     main = tb.read_table(spark, paths.main_table)
     if text != "cls_embedding" or not tb.path_exists(spark, paths.daily_embeddings):
         return main
@@ -163,10 +164,12 @@ def suite_summary(split_metrics, strategy_metrics, grid, keys=SERIES, split="tes
     return grid.join(measured, "run_name", "left").join(traded, "run_name", "left")
 
 
-def run_suite(spark, paths, axes, base=None, name="suite", keys=SERIES, threshold=0.5, annualization=252, cost=0.0):
-    """Train and evaluate every combination of ``axes``; all runs share one predictions table and one metric pass."""
-    main = tb.read_table(spark, paths.main_table)
-    predictions, grid = model.train_suite(main, axes, base, name, carry=keys)
+def run_suite(spark, paths, axes, base=None, name="suite", keys=SERIES, threshold=0.5, annualization=252, cost=0.0, dim=16):
+    """Train and evaluate every combination of ``axes``; all runs share one predictions table and one metric pass.
+
+    Each run reads the model table of its text representation; ``dim`` is the width of the daily embeddings.
+    """
+    predictions, grid = model.train_suite(lambda text: _training_table(spark, paths, text, dim), axes, base, name, carry=keys)
     tb.write_table(predictions, paths.predictions)
     tables = evaluate_run(spark, paths, threshold, annualization, cost, keys, run=["run_name"])
     options = spark.createDataFrame([tuple(str(v) for v in g.values()) for g in grid], list(grid[0]))

@@ -75,3 +75,26 @@ def test_tables(spark, tmp_path):
         tb.read_table(spark, "x.json")
     with pytest.raises(ValueError, match="close"):
         tb.market_table(spark.createDataFrame([("2024-01-02", 1.0)], "trade_date string, open double"))
+
+
+def test_suite_merges_embeddings(spark, tmp_path, monkeypatch):
+    from tapeloom.operators import dataset, model
+
+    own = jobs.Paths(str(tmp_path))
+    tb.write_table(spark.createDataFrame([("2022-10-03", 1.0), ("2022-10-04", 2.0)], "trade_date string, close double"), own.main_table)
+    tb.write_table(spark.createDataFrame([("2022-10-03", [0.5, 0.25])], "trade_date string, embedding array<double>"), own.daily_embeddings)
+    seen = []
+
+    def fit(rows, text="sentiment", modality="multimodal", **options):
+        names = dataset.feature_space(rows.columns, modality, text)["inputs"]
+        seen.append([c for c in names if c.startswith("emb_")])
+        return rows.select("trade_date"), {}
+
+    monkeypatch.setattr(model, "train_tabular", fit)
+    monkeypatch.setattr(jobs, "evaluate_run", lambda *a, **b: {"split_metrics": None, "strategy_metrics": None})
+    monkeypatch.setattr(jobs, "suite_summary", lambda m, s, options, keys: options)
+    jobs.run_suite(spark, own, {"text": ["sentiment", "cls_embedding"], "modality": ["multimodal", "text"]}, dim=2)
+    assert seen == [[], [], ["emb_000", "emb_001"], ["emb_000", "emb_001"]]
+    missing = jobs.Paths(str(tmp_path), {"daily_embeddings": f"{tmp_path}/none.parquet"})
+    with pytest.raises(ValueError, match="emb_"):
+        jobs.run_suite(spark, missing, {"text": ["cls_embedding"]})
