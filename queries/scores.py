@@ -212,14 +212,11 @@ def union_splits(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUICK = {"maxIter": 3}
-
-
 @query("fit_predict_gbt")
 def fit_predict_gbt(spark, d):
     f = cut(features(spark, d))
-    names = ["ret_1", "ret_5", "volatility_10", "ma_gap_5", "hl_range", "volume_change_1"]
-    models = model.fit_tabular(dataset.tabular_rows(f, names, "train"), names, "multitask", **QUICK)
+    names = dataset.feature_space(f.columns, "num", without_regimes=False)["inputs"]
+    models = model.fit_tabular(dataset.tabular_rows(f, names, "train"), names, "multitask")
     scored = model.predict(dataset.tabular_rows(f, names, "test"), models, names)
     return scored.select("symbol", "trade_date", "pred_cls_score", "pred_cls_label", "pred_reg")
 
@@ -227,14 +224,14 @@ def fit_predict_gbt(spark, d):
 @query("train_predictions")
 def train_predictions(spark, d):
     main = cut(_main(spark, d).join(bars(spark, d), ["symbol", "trade_date"]))
-    predicted, _ = model.train_tabular(main, "multitask", carry=["symbol"], **QUICK)
+    predicted, _ = model.train_tabular(main, "multitask", carry=["symbol"])
     return predicted
 
 
 @query("train_suite")
 def train_suite(spark, d):
     main = cut(features(spark, d))
-    predicted, grid = model.train_suite(main, {"task": ["cls", "reg"]}, {"modality": "num", **QUICK}, carry=["symbol"])
+    predicted, grid = model.train_suite(main, {"task": ["cls", "reg"]}, {"modality": "num"}, carry=["symbol"])
     predicted = cut(predicted)
     keys = ["run_name", "split", "symbol"]
     traded = backtest.strategy_metrics(backtest.strategy_frame(predicted, 0.5, 0.0, keys), 252, keys)
