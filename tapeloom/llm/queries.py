@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, jaccard, line_templates, mixing, nn_descent, quality, token_file, toxicity, warc
+from . import (decontaminate, filter_audit, hilbert, jaccard, line_templates, mixing, nn_descent, quality, repetition, sharded_kmeans,
+               token_file, toxicity, warc)
 from .common import table, utf8_size, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +146,85 @@ def op9_quality(spark, sf_dir):
 def op1_nn_descent(spark, sf_dir):
     """The 5 nearest embeddings found for every 50th one."""
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_filter_audit", r"""
+    with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+    w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from t),
+    m as (select doc_id, part, (case when len(w) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+            + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end)
+            + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when least < doc_id then 16 else 0 end) as mask from w),
+    c as (select m.part, m.mask, count(*) as n, count(*) filter (l.quality = 1) as good, count(*) filter (l.toxic = 1) as toxic
+          from m left join labels l on l.doc_id = m.doc_id group by m.part, m.mask),
+    f(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+    o as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+          where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s as (select filter_order, cast(step as int) as step, 1 << (ascii(filter_order[step]) - 65) as bit,
+                 coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::int as earlier
+          from o, range(1, 6) r(step)),
+    r as (select c.*, s.*, (mask & bit) > 0 as here, (mask & earlier) > 0 as gone from c, s),
+    a as (select part, filter_order, step, bit, sum(n) filter (not here and not gone) as kept, sum(n) filter (here and not gone) as removed,
+                 sum(n) filter (here and gone) as redundant, sum(n) filter (mask = bit) as unique_fails,
+                 sum(good) filter (here and not gone) as good_lost, sum(toxic) filter (here and not gone) as toxic_lost
+          from r group by part, filter_order, step, bit)
+    select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+           coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+           coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+           coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley from a""")
+def op11_filter_audit(spark, sf_dir):
+    """Five filters over all documents, in all 120 orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_SHARES = " or ".join(f"chars_{n} > {share} * word_chars" for n, share in repetition.NGRAM_SHARE.items())
+
+
+@query("op12_repetition", rf"""
+    with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^ 	-]+') as w from documents),
+    l as (select doc_id, x, regexp_extract_all(x, '[^ 	-]+') as v, row_number() over (partition by doc_id, x) as k
+          from (select doc_id, unnest(string_split(t, chr(10))) as x from d)),
+    ls as (select doc_id, count(*) as n_lines, count(*) filter (k > 1) as n_dup_lines,
+                  coalesce(sum(length(array_to_string(v, ''))) filter (k > 1), 0) as dup_line_chars from l where len(v) > 0 group by doc_id),
+    g as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+          from (select *, unnest(range(1, len(w) - n + 2)) as i from d, (values (3), (5), (6), (7), (8), (9), (10)) v(n))),
+    k as (select doc_id, n, i, count(*) over (partition by doc_id, n, g) as c, min(i) over (partition by doc_id, n, g) as least from g),
+    r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 3)) as p from k where n = 3 and c > 1) group by doc_id),
+    p as (select distinct doc_id, n, unnest(range(i, i + n)) as p from k where i > least and n > 3),
+    h as (select p.doc_id, {', '.join(f'sum(length(w[p])) filter (n = {n}) as chars_{n}' for n in repetition.NGRAM_SHARE)}
+          from p join d on d.doc_id = p.doc_id group by p.doc_id),
+    a as (select d.doc_id, len(w) as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_lines, 0)::bigint as n_lines,
+                 coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(dup_line_chars, 0)::bigint as dup_line_chars,
+                 coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+                 {', '.join(f'coalesce(chars_{n}, 0)::bigint as chars_{n}' for n in repetition.NGRAM_SHARE)}
+          from d left join ls on ls.doc_id = d.doc_id left join r on r.doc_id = d.doc_id left join h on h.doc_id = d.doc_id),
+    b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from a)
+    select *, not (base_failed or n_dup_lines > 0.3 * n_lines or dup_line_chars > 0.2 * word_chars or {_SHARES}) as kept from b""")
+def op12_repetition(spark, sf_dir):
+    """Repetition counts of every document, and whether it passes the bounds."""
+    return repetition.repetition_report(table(spark, sf_dir, "documents"))
+
+
+def _lloyd_sql(dims=64, k=16, rounds=3):
+    """Lloyd's rounds as one statement; the centroids of round r are c{r}."""
+    parts = [f"""v as (select vec_id, list_transform(embedding, lambda e: floor(e::double * 64)::bigint) as x from embeddings
+        where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+    c0 as (select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as c, x from v qualify c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as (select vec_id, c, d, x from (select v.vec_id, v.x, c.c,
+            list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c{r} c)
+            qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""s{r} as (select c, j, sum(x[j])::bigint as s, count(*) as n from a{r}, range(1, {dims + 1}) t(j) group by c, j),
+            m{r} as (select c, list((s - ((s % n) + n) % n) // n order by j) as x from s{r} group by c),
+            c{r + 1} as (select o.c, coalesce(m.x, o.x) as x from c{r} o left join m{r} m on m.c = o.c)""")
+    return f"""with {', '.join(parts)}
+        select vec_id, a.c as cluster, d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia,
+               (sum(d) over ())::bigint as inertia, sha256(array_to_string(f.x, ',')) as centroid_sha256
+        from a{rounds} a join c{rounds} f on f.c = a.c"""
+
+
+@query("op13_sharded_kmeans", _lloyd_sql())
+def op13_sharded_kmeans(spark, sf_dir):
+    """Three rounds of clustering over all embeddings."""
+    return sharded_kmeans.cluster(table(spark, sf_dir, "embeddings"))
