@@ -10,11 +10,11 @@ An id is stored as its frequency rank. A control byte gives the lengths of four
 rank takes 1 to 4 bytes, little-endian. The table from rank to id is one row per id in the folder ``ranks``.
 """
 
-import uuid
-import zlib
 from functools import lru_cache
 from itertools import chain
 import unicodedata
+import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Window, functions as F
 
 from ..functions.storage import cut
+from . import textmath
 from .common import shuffle_partitions
 from .files import read_bytes, shared_folder, write_bytes
 
@@ -33,8 +34,8 @@ CACHE_WORDS = 200_000
 # Fixed value: how the tokenizer file splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-# Separators that Python splits at and the tokenizer does not.
-NOT_SPACE = ["\x1c", "\x1d", "\x1e", "\x1f"]
+# What the tokenizer does not treat as Python does: separators that only Python splits at, and U+0000.
+UNLIKE = ["\x1c", "\x1d", "\x1e", "\x1f", "\x00"]
 
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
@@ -89,9 +90,11 @@ def unpack_file(blob):
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct word once.
 
-    The tokenizer's own normalisation (NFC, white space, lower case) and word split run over whole batches; its byte-level
-    BPE model encodes the distinct words. Texts with its special tokens' strings go whole through the unchanged tokenizer.
-    Words seen before in the same worker are kept, at most ``CACHE_WORDS``.
+    A batch of texts is cut at ASCII white space in numpy, and equal pieces are found by 64-bit hashes. The tokenizer's own
+    normalisation (NFC, white space, lower case) and word split run over the distinct pieces, its byte-level BPE model over
+    their distinct words. Texts go whole through the unchanged tokenizer if a piece holds the string of a special token, a
+    character that Python treats in another way, or a code point without a character, which tables of different age class
+    differently. Pieces seen before in the same worker are kept, at most ``CACHE_WORDS``.
     """
 
     def __init__(self, path):
@@ -102,7 +105,7 @@ class WordEncoder:
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(r"\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.special = [str(t.content) for t in self.model.get_added_tokens_decoder().values()] + NOT_SPACE
+        self.special = [str(t.content) for t in self.model.get_added_tokens_decoder().values()] + UNLIKE
         self.known = {}
 
     def whole(self, text):
@@ -113,45 +116,51 @@ class WordEncoder:
             self._whole = Tokenizer.from_file(self.path)
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _chunk_ids(self, chunks):
-        """Ids of each white-space chunk, as arrays."""
-        words = [WORDS.findall(c) for c in chunks]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
+    def _apart(self, piece):
+        """Whether a text with this piece goes whole through the tokenizer."""
+        low = piece.lower()
+        return any(s in piece or s in low for s in self.special) or (
+            not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece))
+
+    def _learn(self, pieces):
+        """Put the ids of new pieces into ``known``; None for those that a text must not be cut into."""
+        words = {}
+        for piece in pieces:
+            lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            words[piece] = None if self._apart(piece) else [w for part in lowered.split() for w in WORDS.findall(part)]
+        new, ids_of = list({w for ws in words.values() if ws for w in ws}), {}
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             encoded = self.model.encode("\n".join(part), add_special_tokens=False)
             ids, owner = np.array(encoded.ids, np.uint32), np.array(encoded.word_ids)
             bounds = np.searchsorted(owner, np.arange(len(part) + 1)) if len(ids) else np.zeros(len(part) + 1, int)
             ids = ids.tolist()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(part, bounds[:-1], bounds[1:]))
-        known = self.known
-        return [known[ws[0]] if len(ws) == 1 else list(chain.from_iterable(known[w] for w in ws)) for ws in words]
+            ids_of.update((w, ids[a:b]) for w, a, b in zip(part, bounds[:-1], bounds[1:]))
+        self.known.update((p, None if ws is None else list(chain.from_iterable(ids_of[w] for w in ws))) for p, ws in words.items())
 
     def encode(self, texts):
         """An id array per text."""
-        out, plain = [None] * len(texts), []
-        for i, text in enumerate(texts):
-            text = text or ""
-            if any(s in text for s in self.special):
-                out[i] = self.whole(text)
-            else:
-                plain.append(i)
-        lowered = [unicodedata.normalize("NFC", texts[i] or "").replace("Σ", "σ").lower().split() for i in plain]
-        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(lowered)), dtype=object))
-        ids = self._chunk_ids(distinct.tolist())
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        at = 0
-        for i, words in zip(plain, lowered):
-            c = codes[at:at + len(words)]
-            at += len(words)
-            n = sizes[c]
-            offset = np.repeat(starts[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out[i] = flat[offset]
+        data = [(t or "").encode("utf-8", "replace") for t in texts]
+        buffer, starts, ends, doc = textmath.words(data, fold=False)
+        _, first, place = np.unique(textmath.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
+        raw = buffer.tobytes()
+        pieces = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, pieces
+        self._learn(new)
+        ids = [self.known[p] for p in pieces]
+        apart = np.array([x is None for x in ids], bool)
+        sizes = np.fromiter((0 if x is None else len(x) for x in ids), np.int64, len(ids))
+        begins = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.uint32, int(sizes.sum()))
+        n = sizes[place]
+        upto = np.cumsum(n)
+        all_ids = flat[np.repeat(begins[place] - (upto - n), n) + np.arange(int(n.sum()))]
+        per_text = np.bincount(doc, n, len(texts)).astype(np.int64)
+        out = np.split(all_ids, np.cumsum(per_text)[:-1]) if len(texts) else []
+        for i in np.unique(doc[apart[place]]).tolist():
+            out[i] = self.whole(texts[i])
         return out
 
 
@@ -160,7 +169,7 @@ def _encoder(path):
     return WordEncoder(path)
 
 
-def _batches(texts, size=2 << 20):
+def _batches(texts, size=1 << 19):
     """Index ranges of about ``size`` characters."""
     first, total = 0, 0
     for i, text in enumerate(texts):
@@ -173,6 +182,14 @@ def _batches(texts, size=2 << 20):
         yield first, len(texts)
 
 
+def _id_type(tokenizer, end_id):
+    """Two bytes an id between tasks if the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True)
+    return "<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4"
+
+
 def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id", end_id=2):
     """Write all documents, ordered by id, to token files; returns the stored manifest and the table of ranks.
 
@@ -187,6 +204,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_KEY)).alias("k"), F.col(text).alias("t"))
+    kind = _id_type(tokenizer, end_id)
 
     def encode(batches):
         for batch in batches:
@@ -194,7 +212,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
             for a, b in _batches(texts):
                 ids = _encoder(tokenizer).encode(texts[a:b])
                 yield pd.DataFrame({"k": batch["k"].to_numpy()[a:b],
-                                    "ids": [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in ids]})
+                                    "ids": [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in ids]})
 
     plain = _with_codec(rows.mapInPandas(encode, "k long, ids binary"))
 
@@ -202,7 +220,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch["ids"]:
-                part = np.bincount(np.frombuffer(blob, "<u4"), minlength=len(total))
+                part = np.bincount(np.frombuffer(blob, kind), minlength=len(total))
                 part[:len(total)] += total
                 total = part
         at = np.flatnonzero(total)
@@ -218,13 +236,14 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
     def write(batches):
         from pyspark import TaskContext
 
+        width = np.dtype(kind).itemsize
         part, nth, keys, blobs, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
             nonlocal nth, keys, blobs, held
-            ids = np.frombuffer(b"".join(blobs), "<u4")
+            ids = np.frombuffer(b"".join(blobs), kind)
             path = f"{folder}/part-{part:06d}-{nth:04d}-{uuid.uuid4().hex}.ids"
-            write_bytes(path, pack_file(keys, [len(b) // 4 for b in blobs], rank_of[ids]))
+            write_bytes(path, pack_file(keys, [len(b) // width for b in blobs], rank_of[ids]))
             row = pd.DataFrame({"part": [part], "nth": [nth], "path": [path], "n_docs": [len(keys)], "n_ids": [len(ids)]})
             nth, keys, blobs, held = nth + 1, [], [], 0
             return row
@@ -233,7 +252,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
             for key, blob in zip(batch["k"], batch["ids"]):
                 keys.append(key)
                 blobs.append(blob)
-                held += len(blob) // 4
+                held += len(blob) // width
                 if held >= FILE_IDS:
                     yield flush()
         if keys:

@@ -39,6 +39,30 @@ def test_encoder_equals_the_tokenizer(rows):
         assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)[:60]
 
 
+def test_encoder_in_mixed_batches(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    odd = ["ab\0Cd", "foo x\0 bar", "ab\0Cd \0E x\0", "a\u0558b", "x\u088f\u088fy z", "<|EndOfText|> q", "q\u0378", "e\u0301 \u0301x", "a\u2003b\u3000c\x85d", "\u0390 \u1fd3"]
+    plain = ["ab Cd  E x ", "x y", "ab cd e x", "", None, "Foo FOO foo", "  "] * 30
+    batch = [t for i, p in enumerate(plain) for t in (p, odd[i % len(odd)])]
+    for text, ids in zip(batch, tf.WordEncoder(tokenizer_path()).encode(batch)):
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert tf.WordEncoder(tokenizer_path()).encode([]) == []
+
+
+def test_encoder_agrees_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(tokenizer_path()), tf.WordEncoder(tokenizer_path())
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xE0000, 0xE0200)]
+    for at in range(0, len(points), 4000):
+        texts = [f"ab{c}cd {c}1 {c}" for c in points[at:at + 4000]]
+        want = whole.encode_batch(texts, add_special_tokens=False)
+        bad = [hex(ord(t[2])) for t, w, got in zip(texts, want, encoder.encode(texts)) if got.tolist() != w.ids]
+        assert not bad, bad[:20]
+
+
 def test_token_files_hold_all_documents_in_order(spark, docs, rows, monkeypatch):
     from tokenizers import Tokenizer
 
