@@ -82,8 +82,3 @@ def training_order(mixed, tie=("doc_id",)):
     order = [F.col("time"), *[F.col(f"tie{i}").asc_nulls_last() for i in range(len(tie))], F.col("copy")]
     placed, _ = with_running(rows, order, "one", "position")
     return unpack(placed, copy=F.col("copy"), words=F.col("words"), time=F.col("time"), position=F.col("position"))
-
-
-def cut_to_words(text, words, pieces):
-    """The first ``words`` words of a text; ``pieces`` is its split into words with the white space before each."""
-    return F.when(words < F.size(pieces), F.array_join(F.slice(pieces, 1, words.cast("int")), "")).otherwise(text)

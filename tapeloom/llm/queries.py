@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from . import (decontaminate, filter_audit, hilbert, jaccard, line_templates, mixing, nn_descent, quality, repetition, sharded_kmeans,
                token_file, toxicity, warc)
 from .common import table, utf8_size, word_count
@@ -71,12 +72,16 @@ def op7_decontaminate(spark, sf_dir):
 
 @query("op8_curriculum_mix")
 def op8_curriculum_mix(spark, sf_dir):
-    """Words the mix takes of every document, and the position of its first copy in the training order."""
+    """Words the mix takes of every document, and the time and position of its first copy in the training order."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
-    mixed = mixing.mix(docs, "size", tie=("doc_id", "text_md5"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"),
-                        F.round(F.get("copies", F.lit(0))["time"], 9).alias("first_time"))
+    mixed = cut(mixing.mix(docs, "size", tie=("doc_id", "text_md5")))
+    first = mixing.training_order(mixed, tie=("doc_id", "text_md5")).groupBy(
+        F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).agg(F.min("position").alias("first_position"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5"))
+    return mixed.join(first, same, "left").select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("copies"),
+        F.round(F.get("copies", F.lit(0))["time"], 9).alias("first_time"), "first_position")
 
 
 @query("op10_toxicity")
@@ -180,8 +185,10 @@ _SHARES = " or ".join(f"chars_{n} > {share} * word_chars" for n, share in repeti
 
 
 @query("op12_repetition", rf"""
-    with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^ 	-]+') as w from documents),
-    l as (select doc_id, x, regexp_extract_all(x, '[^ 	-]+') as v, row_number() over (partition by doc_id, x) as k
+    with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^ 	-
+]+') as w from documents),
+    l as (select doc_id, x, regexp_extract_all(x, '[^ 	-
+]+') as v, row_number() over (partition by doc_id, x) as k
           from (select doc_id, unnest(string_split(t, chr(10))) as x from d)),
     ls as (select doc_id, count(*) as n_lines, count(*) filter (k > 1) as n_dup_lines,
                   coalesce(sum(length(array_to_string(v, ''))) filter (k > 1), 0) as dup_line_chars from l where len(v) > 0 group by doc_id),

@@ -11,6 +11,7 @@ DIM = 1 << 18
 PREFIXES = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 16000
 LIFT, LEAST = 6.0, 3
+LOW, HIGH = 1.0, 1.1
 
 
 def features(data, known=None, dim=DIM):
@@ -91,7 +92,7 @@ def choose_features(in_positive, in_unlabelled, positives, unlabelled, lift=LIFT
     return (in_positive >= least) & (share - base >= lift * np.sqrt(base * (1 - base) / max(positives, 1)))
 
 
-def prior_threshold(scores, prior, low=0.85, high=1.05):
+def prior_threshold(scores, prior, low=LOW, high=HIGH):
     """The score to cut at: the widest gap where between ``low`` and ``high`` times the class prior lies above it."""
     ranked = np.sort(scores)[::-1]
     first = min(max(int(low * prior * len(ranked)), 1), len(ranked) - 1)

@@ -17,6 +17,7 @@ DICTIONARY_FRAME = bytes.fromhex("5d2a4d18")
 ZSTD_FRAME = bytes.fromhex("28b52ffd")
 
 FILE_BYTES = 8 << 20
+PIECE = 1 << 16  # fed to the decompressor at once; what follows a frame is read again with the next one
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 16, 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,15 +112,19 @@ def read_archive(blob):
             content = zstandard.ZstdDecompressor().decompress(content)
         loaded = zstandard.ZstdCompressionDict(content)
     reader = zstandard.ZstdDecompressor(dict_data=loaded) if loaded else zstandard.ZstdDecompressor()
+    view = memoryview(blob)
     while at < len(blob):
-        if blob[at:at + 4] != ZSTD_FRAME:
+        if view[at:at + 4] != ZSTD_FRAME:
             raise ValueError("expected a frame")
-        frame = reader.decompressobj()
-        data = frame.decompress(blob[at:])
-        if not frame.eof:
-            raise ValueError("frame is cut")
-        at = len(blob) - len(frame.unused_data)
-        yield parse_record(data)
+        frame, parts = reader.decompressobj(), []
+        while not frame.eof:
+            piece = view[at:at + PIECE]
+            if not piece:
+                raise ValueError("frame is cut")
+            parts.append(frame.decompress(piece))
+            at += len(piece)
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def train_dictionary(pages, html="html"):
