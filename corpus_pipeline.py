@@ -3,7 +3,7 @@
 1. ``toxicity``: documents that the positive-unlabelled classifier scores 0.5 or more go.
 2. ``near_duplicates``: of every class of the n-gram Jaccard join the document with the smallest id stays.
 3. ``decontamination``: documents that hold a window of a benchmark item go.
-4. ``mixing``: sources are brought to their target weights; documents repeat or go, the last copy of a source is cut.
+4. ``mixing``: sources are brought to their target weights; documents repeat or go, always whole.
 5. ``token_files``: the texts become token ids in binary files, which are read back.
 
 All stages but the last return the columns of ``documents``.
@@ -13,7 +13,7 @@ from pyspark.sql import Window, functions as F
 
 from tapeloom.functions.storage import cut
 from tapeloom.llm import decontaminate, jaccard, mixing, token_file, toxicity
-from tapeloom.llm.common import SPACE, WORD, broadcast_if_small, pack, shuffle_partitions, table, unpack, word_count
+from tapeloom.llm.common import broadcast_if_small, pack, shuffle_partitions, table, unpack, word_count
 from tapeloom.llm.files import shared_folder
 from tapeloom.llm.queries import tokenizer_path
 
@@ -65,7 +65,10 @@ def remove_contaminated(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """The mix in training order: a document stands there once per copy, a cut copy holds its first words only."""
+    """The mix in training order: a document stands there once per copy, whole.
+
+    The copy in which a source's demand ends is taken if at least half of its words are wanted, else left out.
+    """
     narrow = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"))
     mixed = mixing.mix(narrow, "size", tie=("doc_id", "text_hash"))
     copies = mixed.groupBy("doc_id", "source", "text_hash", "size").agg(
@@ -75,14 +78,10 @@ def mix_sources(spark, docs, sf_dir):
     if not copies.where("rows > 1").isEmpty():  # repeated rows share their copies
         nth = F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.lit(1)))
         found = found.withColumn("nth", nth).withColumn("copies", F.expr("filter(copies, (c, i) -> i % rows = nth - 1)"))
-    taken = found.select("row", "size", F.explode("copies").alias("c"))
-    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(rf"([{SPACE}]*{WORD})"))
-    shorter = F.col("c.words") < F.col("size")
-    text = F.when(shorter, mixing.cut_to_words(F.col("row.text"), F.col("c.words"), pieces)).otherwise(F.col("row.text"))
+    taken = found.select("row", "size", F.explode("copies").alias("c")).where(F.col("c.words") * 2 >= F.col("size"))
     order = ["c.time", "row.doc_id", "c.copy"]
     placed = taken.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    chars = F.when(shorter, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
-    return unpack(placed, text=text, n_chars=chars).select(*docs.columns)
+    return unpack(placed).select(*docs.columns)
 
 
 def write_tokens(spark, docs, sf_dir):

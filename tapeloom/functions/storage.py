@@ -1,5 +1,6 @@
 """Reliable checkpoints."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ def ensure_checkpoint_dir(spark):
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job on a cluster")
         folder = tempfile.mkdtemp(prefix="tapeloom-checkpoint-")
     context.setCheckpointDir(folder)
