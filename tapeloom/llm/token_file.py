@@ -29,7 +29,7 @@ from .files import read_bytes, shared_folder, write_bytes
 MAGIC = b"TIDR1\n\0\0"
 NO_KEY = -(1 << 63)
 FILE_IDS = 4_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 # Fixed value: how the tokenizer file splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -90,11 +90,11 @@ def unpack_file(blob):
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct word once.
 
-    A batch of texts is cut at ASCII white space in numpy, and equal pieces are found by 64-bit hashes. The tokenizer's own
-    normalisation (NFC, white space, lower case) and word split run over the distinct pieces, its byte-level BPE model over
-    their distinct words. Texts go whole through the unchanged tokenizer if a piece holds the string of a special token, a
-    character that Python treats in another way, or a code point without a character, which tables of different age class
-    differently. Pieces seen before in the same worker are kept, at most ``CACHE_WORDS``.
+    A batch of texts is cut at ASCII white space in numpy, pieces of ASCII characters also into words, and equal ones are
+    found by 64-bit hashes. The tokenizer's own normalisation (NFC, white space, lower case) and word split run over the
+    distinct other pieces, its byte-level BPE model over the distinct words. Texts go whole through the unchanged tokenizer
+    if they hold the string of a special token, a character that Python treats in another way, or a code point without a
+    character, which tables of different age class differently. Words seen before in a task are kept, at most ``CACHE_WORDS``.
     """
 
     def __init__(self, path):
@@ -122,54 +122,107 @@ class WordEncoder:
         return any(s in piece or s in low for s in self.special) or (
             not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece))
 
-    def _learn(self, pieces):
-        """Put the ids of new pieces into ``known``; None for those that a text must not be cut into."""
+    def _learn(self, tokens):
+        """Put the ids of new tokens into ``known``; None for pieces that send their text whole through the tokenizer."""
         words = {}
-        for piece in pieces:
-            lowered = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            words[piece] = None if self._apart(piece) else [w for part in lowered.split() for w in WORDS.findall(part)]
+        for token in tokens:
+            if token.isascii():
+                words[token] = (token,)
+            elif self._apart(token):
+                words[token] = None
+            else:
+                lowered = unicodedata.normalize("NFC", token).replace("Σ", "σ").lower()
+                words[token] = [w for part in lowered.split() for w in WORDS.findall(part)]
         new, ids_of = list({w for ws in words.values() if ws for w in ws}), {}
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             encoded = self.model.encode("\n".join(part), add_special_tokens=False)
             ids, owner = np.array(encoded.ids, np.uint32), np.array(encoded.word_ids)
-            bounds = np.searchsorted(owner, np.arange(len(part) + 1)) if len(ids) else np.zeros(len(part) + 1, int)
+            bounds = (np.searchsorted(owner, np.arange(len(part) + 1)) if len(ids) else np.zeros(len(part) + 1, int)).tolist()
             ids = ids.tolist()
             ids_of.update((w, ids[a:b]) for w, a, b in zip(part, bounds[:-1], bounds[1:]))
-        self.known.update((p, None if ws is None else list(chain.from_iterable(ids_of[w] for w in ws))) for p, ws in words.items())
+        for token, ws in words.items():
+            self.known[token] = None if ws is None else ids_of[ws[0]] if len(ws) == 1 else list(chain.from_iterable(ids_of[w] for w in ws))
 
     def encode(self, texts):
         """An id array per text."""
         data = [(t or "").encode("utf-8", "replace") for t in texts]
-        buffer, starts, ends, doc = textmath.words(data, fold=False)
-        _, first, place = np.unique(textmath.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
-        raw = buffer.tobytes()
-        pieces = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        new = [p for p in pieces if p not in self.known]
+        raw, starts, ends, doc = textmath.words(data, fold=False)
+        place = np.cumsum(np.fromiter((len(d) + 1 for d in data), np.int64, len(data)))
+        buffer, starts, ends, doc, strange = _tokens(raw, starts, ends, doc)
+        apart = set(np.searchsorted(place, np.flatnonzero(strange), "right").tolist())
+        joined = buffer.tobytes()
+        for s in self.special[:-len(UNLIKE)]:
+            at = joined.find(s.encode())
+            while at >= 0:
+                apart.add(int(np.searchsorted(place, at, "right")))
+                at = joined.find(s.encode(), at + 1)
+        _, first, which = np.unique(textmath.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
+        tokens = [joined[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [t for t in tokens if t not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, pieces
+            self.known, new = {}, tokens
         self._learn(new)
-        ids = [self.known[p] for p in pieces]
-        apart = np.array([x is None for x in ids], bool)
+        ids = [self.known[t] for t in tokens]
+        missing = np.array([x is None for x in ids], bool)
         sizes = np.fromiter((0 if x is None else len(x) for x in ids), np.int64, len(ids))
         begins = np.cumsum(sizes) - sizes
         flat = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.uint32, int(sizes.sum()))
-        n = sizes[place]
+        n = sizes[which]
         upto = np.cumsum(n)
-        all_ids = flat[np.repeat(begins[place] - (upto - n), n) + np.arange(int(n.sum()))]
+        all_ids = flat[np.repeat(begins[which] - (upto - n), n) + np.arange(int(n.sum()))]
         per_text = np.bincount(doc, n, len(texts)).astype(np.int64)
         out = np.split(all_ids, np.cumsum(per_text)[:-1]) if len(texts) else []
-        for i in np.unique(doc[apart[place]]).tolist():
+        for i in apart | set(np.unique(doc[missing[which]]).tolist()):
             out[i] = self.whole(texts[i])
         return out
 
 
+# Kinds of ASCII characters in the word split, and the endings that an apostrophe makes a word of their own.
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[65:91] = KIND[97:123] = 1
+KIND[48:58] = 2
+ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+
+
+def _tokens(raw, starts, ends, doc):
+    """Cut the ASCII pieces of a batch into lower-cased words; pieces with other characters stay whole, as they are.
+
+    Returns ``(buffer, starts, ends, doc, strange)``; ``strange`` marks the characters that Python treats in another way.
+    """
+    strange = np.isin(raw, np.frombuffer("".join(UNLIKE).encode(), np.uint8))
+    other = np.concatenate(([0], np.cumsum(raw >= 128)))
+    odd = other[ends] > other[starts]
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts[odd]], edge[ends[odd]] = 1, -1  # pieces do not touch
+    in_odd = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    buffer = np.where(in_odd, raw, textmath.LOWER[raw])
+    kind = KIND[buffer]
+    begin = (kind != 0) & ~in_odd & ((kind == 2) | (kind != np.concatenate(([0], kind[:-1]))))
+    padded = np.concatenate((buffer, np.zeros(4, np.uint8)))
+    quote = np.flatnonzero(begin & (buffer == 39))
+    quote = quote[KIND[padded[quote + 1]] == 1]
+    for ending in ENDINGS:
+        hit = quote
+        for k, c in enumerate(ending, start=1):
+            hit = hit[padded[hit + k] == c]
+        begin[hit + 1] = False
+        after = hit + 1 + len(ending)
+        begin[after[KIND[padded[after]] == 1]] = True
+    begin[starts[odd]] = True
+    at = np.flatnonzero(begin)
+    piece = np.searchsorted(starts, at, "right") - 1
+    until = np.minimum(np.append(at[1:], len(raw)), ends[piece]) if len(at) else at
+    return buffer, at, until, doc[piece], strange
+
+
 @lru_cache(maxsize=1)
 def _encoder(path):
     return WordEncoder(path)
 
 
-def _batches(texts, size=1 << 19):
+def _batches(texts, size=1 << 20):
     """Index ranges of about ``size`` characters."""
     first, total = 0, 0
     for i, text in enumerate(texts):
@@ -213,6 +266,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
                 ids = _encoder(tokenizer).encode(texts[a:b])
                 yield pd.DataFrame({"k": batch["k"].to_numpy()[a:b],
                                     "ids": [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in ids]})
+        _encoder(tokenizer).known.clear()
 
     plain = _with_codec(rows.mapInPandas(encode, "k long, ids binary"))
 

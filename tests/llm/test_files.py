@@ -44,6 +44,7 @@ def test_encoder_in_mixed_batches(spark):
 
     whole = Tokenizer.from_file(tokenizer_path())
     odd = ["ab\0Cd", "foo x\0 bar", "ab\0Cd \0E x\0", "a\u0558b", "x\u088f\u088fy z", "<|EndOfText|> q", "q\u0378", "e\u0301 \u0301x", "a\u2003b\u3000c\x85d", "\u0390 \u1fd3"]
+    odd += ["it's IT'S 'sure ''s .'s 're've'll'LL'd'm x'", "'", "a'", "'t", "a1b23-c--d_e", "don't-can't'", "9's", "é's é'S a'é", "J\u030c j\u030c I\u0307", "x'lL\nl'l l"]
     plain = ["ab Cd  E x ", "x y", "ab cd e x", "", None, "Foo FOO foo", "  "] * 30
     batch = [t for i, p in enumerate(plain) for t in (p, odd[i % len(odd)])]
     for text, ids in zip(batch, tf.WordEncoder(tokenizer_path()).encode(batch)):
