@@ -175,21 +175,21 @@ def main_table(spark, d):
     return rounded(main.select("symbol", "trade_date", *MARKET_FEATURES, *LABELS, *TEXT_DAILY))
 
 
-_FOUR = X.embedding_names(4)
+_WIDE = X.embedding_names(64)
 
 
 @query("merge_embeddings", f"""WITH {_DAILY_EMB}, {FEATURES}
-       SELECT symbol, f3.trade_date, {r6('close', 'close')}, {', '.join(r6(f'coalesce({n}, 0)', n) for n in _FOUR)}
-       FROM f3 LEFT JOIN (SELECT * FROM emb WHERE emb_000 <> 0) USING (trade_date)""")
+       SELECT symbol, f3.trade_date, {r6('close', 'close')}, {', '.join(r6(f'coalesce({n}, 0)', n) for n in _WIDE)}
+       FROM f3 LEFT JOIN emb USING (trade_date)""")
 def merge_embeddings(spark, d):
-    """Only days with news have a vector here, so most rows take the fill value."""
+    """Days outside the calendar of the vectors take the fill value."""
     daily = tf.daily_embeddings(encoded(spark, d), calendar(spark, d), 64)
-    wide = tf.widen_embeddings(daily, 4).where("emb_000 <> 0")
+    wide = tf.widen_embeddings(daily, 64)
     out = dataset.merge_embeddings(features(spark, d).select("symbol", "trade_date", "close"), wide)
-    return rounded(out.select("symbol", "trade_date", "close", *_FOUR))
+    return rounded(out.select("symbol", "trade_date", "close", *_WIDE))
 
 
-_STD = ["close", "volume", "ret_1", "rsi_14"]
+_STD = dataset.feature_space([], "num")["numeric"]
 
 
 @query("fit_standardizer", f"""WITH {FEATURES} SELECT {', '.join(
