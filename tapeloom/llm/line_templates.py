@@ -13,18 +13,20 @@ ANY = "<*>"
 
 # Fixed value: a token that holds an ASCII digit, taken whole and from its first character only.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+# Fixed value: white space inside a line.
+GAP = r"[ \t\x0B\f\r]+"
 
 
 def _lines(docs, text, doc_id, depth):
-    """One row per line that is not blank: key of its document, place, masked tokens, leaf of the tree, hash."""
-    masked = F.split(F.regexp_replace(F.col(text), VARIABLE, ANY), "\n", -1)
+    """One row per line that is not blank: key of its document, place, masked line with single spaces, leaf of the tree, hash."""
+    masked = F.regexp_replace(F.regexp_replace(F.col(text), VARIABLE, ANY), GAP, " ")
     rows = docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("text_hash"),
-        F.posexplode(masked).alias("pos", "line"))
-    rows = rows.withColumn("tokens", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
-    rows = rows.where(F.trim("line") != "").withColumn("n", F.size("tokens"))
-    leaf = F.xxhash64("n", F.slice("tokens", 1, depth))
-    return rows.select("doc", "text_hash", "pos", "tokens", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
+        F.posexplode(F.split(masked, "\n", -1)).alias("pos", "line"))
+    rows = rows.withColumn("words", F.trim("line")).where("words != ''")
+    rows = rows.withColumn("n", F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)
+    leaf = F.xxhash64("n", F.substring_index("words", " ", depth))
+    return rows.select("doc", "text_hash", "pos", "words", "n", leaf.alias("leaf"), F.xxhash64("words").alias("line"))
 
 
 def _templates(lines, depth, constant):
@@ -70,12 +72,13 @@ def drop_recurring_lines(docs, text="text", doc_id="doc_id", depth=DEPTH, consta
     NULL text stays NULL with 0 lines. A NULL id counts as the smallest. Documents of one id count as one document. Rows of
     equal id and text get equal results. No rows give no rows. Input columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    lines = _lines(docs, text, doc_id, depth)
-    narrow = cut(lines.select("doc", "text_hash", "pos", "leaf", "line", "n"))
+    lines = cut(_lines(docs, text, doc_id, depth))  # stored: the texts are masked once
+    narrow = lines.drop("words")
     leaves = cut(narrow.groupBy("leaf", "line").count().groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"))
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)
-    shared = cut(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "n", "tokens").dropDuplicates(["leaf", "line"]))
+    shared = cut(lines.join(leaves, "leaf", "left_semi").select("leaf", "line", "n", "words").dropDuplicates(["leaf", "line"]))
+    shared = shared.select("leaf", "line", "n", F.split("words", " ").alias("tokens"))
     varied = _templates(shared, depth, constant)
     placed = narrow.groupBy("line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("rows"))
     placed = placed.join(varied, "line", "left").withColumn("template", F.coalesce("template", "line"))
