@@ -112,17 +112,29 @@ def trade_calendar(spark, d):
 _SEQ = ["open", "close", "ret_1"]
 
 
-@query("sequence_windows", f"""WITH {FEATURES},
+_WINDOWS = f"""WITH {FEATURES},
 s AS (SELECT symbol, trade_date, split, next_ret_1,
         list([{', '.join(f'CAST({c} AS FLOAT)' for c in ('open', 'close', 'coalesce(ret_1, 0)'))}]) OVER w AS x,
         count(*) OVER w AS n, min(split) OVER w AS lo, max(split) OVER w AS hi
       FROM f3 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT symbol, trade_date, split, i - 1 AS step, j - 1 AS feature, round(CAST(x[i][j] AS DOUBLE), 3) + 0.0 AS value
 FROM s, range(1, 6) AS a(i), range(1, 4) AS b(j)
-WHERE n = 5 AND lo = hi AND next_ret_1 IS NOT NULL""")
-def sequence_windows(spark, d):
-    windows = dataset.sequence_windows(features(spark, d), _SEQ, 5)
+WHERE n = 5 AND lo = hi AND next_ret_1 IS NOT NULL"""
+
+
+def _cells(windows):
     steps = windows.select(*KEY, "split", F.posexplode("x").alias("step", "row"))
     cells = steps.select(*KEY, "split", F.col("step").cast("long").alias("step"), F.posexplode("row").alias("feature", "value"))
     return cells.select(*KEY, "split", "step", F.col("feature").cast("long").alias("feature"),
                         (F.round(F.col("value").cast("double"), 3) + 0.0).alias("value"))
+
+
+@query("sequence_windows", _WINDOWS)
+def sequence_windows(spark, d):
+    return _cells(dataset.sequence_windows(features(spark, d), _SEQ, 5))
+
+
+@query("sequence_windows_blocks", _WINDOWS)
+def sequence_windows_blocks(spark, d):
+    """The same windows with every series cut into blocks."""
+    return _cells(dataset.sequence_windows(features(spark, d), _SEQ, 5, block_rows=100))

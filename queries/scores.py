@@ -120,7 +120,7 @@ def label_classes(spark, d):
 
 # ---------------------------------------------------------------- backtest
 
-COST, SERIES_KEYS = 0.001, ["run_name", "split", "symbol"]
+COST, SERIES_KEYS, RANGES = 0.001, ["run_name", "split", "symbol"], 64
 _BY = "PARTITION BY run_name, split, symbol"
 _TO_NOW = f"({_BY} ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _STRATEGY = f"""{PREDICTIONS},
@@ -132,14 +132,26 @@ s4 AS (SELECT *, CASE WHEN strategy_return IS NOT NULL THEN product(1 + strategy
 s5 AS (SELECT *, equity_curve / nullif(max(equity_curve) OVER {_TO_NOW}, 0) - 1 AS drawdown FROM s4)"""
 
 
-@query("strategy_frame", f"""WITH {_STRATEGY} SELECT run_name, split, symbol, trade_date, signal, prev_signal, turnover,
-       {r6('strategy_return', 'strategy_return')}, {r6('ln(equity_curve)', 'log_equity')} FROM s4""")
-def strategy_frame(spark, d):
-    out = backtest.strategy_frame(predictions(spark, d), 0.5, COST, SERIES_KEYS)
+_FRAME = f"""WITH {_STRATEGY} SELECT run_name, split, symbol, trade_date, signal, prev_signal, turnover,
+       {r6('strategy_return', 'strategy_return')}, {r6('ln(equity_curve)', 'log_equity')} FROM s4"""
+
+
+def _frame(out):
     return rounded(out.select(*SERIES_KEYS, "trade_date", "signal", "prev_signal", "turnover", "strategy_return",
                               F.ln("equity_curve").alias("log_equity")))
 
 
+@query("strategy_frame", _FRAME)
+def strategy_frame(spark, d):
+    return _frame(backtest.strategy_frame(predictions(spark, d), 0.5, COST, SERIES_KEYS))
+
+
+@query("strategy_frame_ranges", _FRAME)
+def strategy_frame_ranges(spark, d):
+    """The same rows with every series dealt out to many ranges."""
+    return _frame(backtest.strategy_frame(predictions(spark, d), 0.5, COST, SERIES_KEYS, ranges=RANGES))
+
+
 _TRADED = f"""{_STRATEGY},
 a AS (SELECT run_name, split, symbol, count(strategy_return) AS n_days,
         count(CASE WHEN strategy_return IS NULL THEN 1 END) AS n_missing,
@@ -155,15 +167,28 @@ traded AS (SELECT run_name, split, symbol, n_days, n_missing,
 _LOGS = f"{r6('ln(nullif(1 + cumulative_return, 0))', 'log_return')}, {r6('ln(nullif(1 + annualized_return, 0))', 'log_annualized')}"
 
 
-@query("strategy_metrics", f"""WITH {_TRADED} SELECT run_name, split, symbol, n_days, n_missing, {_LOGS},
-       {_pick(['sharpe', 'max_drawdown', 'win_rate'])} FROM traded""")
-def strategy_metrics(spark, d):
-    frame = backtest.strategy_frame(predictions(spark, d), 0.5, COST, SERIES_KEYS)
-    m = backtest.strategy_metrics(frame, 252, SERIES_KEYS)
+_METRICS = f"""WITH {_TRADED} SELECT run_name, split, symbol, n_days, n_missing, {_LOGS},
+       {_pick(['sharpe', 'max_drawdown', 'win_rate'])} FROM traded"""
+
+
+def _strategy_metrics(spark, d, ranges):
+    frame = backtest.strategy_frame(predictions(spark, d), 0.5, COST, SERIES_KEYS, ranges=ranges)
+    m = backtest.strategy_metrics(frame, 252, SERIES_KEYS, ranges=ranges)
     return rounded(m.select(*SERIES_KEYS, "n_days", "n_missing", F.ln(1 + F.col("cumulative_return")).alias("log_return"),
                             F.ln(1 + F.col("annualized_return")).alias("log_annualized"), "sharpe", "max_drawdown", "win_rate"))
 
 
+@query("strategy_metrics", _METRICS)
+def strategy_metrics(spark, d):
+    return _strategy_metrics(spark, d, None)
+
+
+@query("strategy_metrics_ranges", _METRICS)
+def strategy_metrics_ranges(spark, d):
+    """The same metrics, products and peaks carried from range to range."""
+    return _strategy_metrics(spark, d, RANGES)
+
+
 @query("suite_summary", f"""WITH {_TRADED}, {_metrics('pred', RUN, 'm')},
        grid AS (SELECT run_name, k AS factor FROM runs)
        SELECT grid.run_name, factor, symbol, {', '.join(r6(c, 'test_cls_' + c) for c in CLS)},

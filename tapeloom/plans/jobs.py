@@ -140,15 +140,19 @@ def train(spark, paths, text="sentiment", dim=16, keys=SERIES, **options):
     return tb.read_table(spark, paths.predictions)
 
 
-def evaluate_run(spark, paths, threshold=0.5, annualization=252, cost=0.0, keys=SERIES, run=()):
-    """Predictions to four tables: metrics per split, metrics per regime, backtest rows and backtest metrics."""
+def evaluate_run(spark, paths, threshold=0.5, annualization=252, cost=0.0, keys=SERIES, run=(), long_series=1_000_000):
+    """Predictions to four tables: metrics per split, metrics per regime, backtest rows and backtest metrics.
+
+    Backtests with a series longer than ``long_series`` rows are scanned range by range."""
     predictions = tb.read_table(spark, paths.predictions)
     tb.write_table(evaluate.evaluate_predictions(predictions, [*run, "split"], threshold), paths.split_metrics)
     tb.write_table(evaluate.evaluate_groups(predictions, REGIMES, [*run, "split"], threshold), paths.group_metrics)
     series = [*run, "split", *keys]
-    tb.write_table(backtest.strategy_frame(predictions, threshold, cost, series), paths.strategy, ["split"])
+    longest = predictions.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) if longest > long_series else None
+    tb.write_table(backtest.strategy_frame(predictions, threshold, cost, series, ranges=ranges), paths.strategy, ["split"])
     frame = tb.read_table(spark, paths.strategy)
-    tb.write_table(backtest.strategy_metrics(frame, annualization, series), paths.strategy_metrics)
+    tb.write_table(backtest.strategy_metrics(frame, annualization, series, ranges=ranges), paths.strategy_metrics)
     return {name: tb.read_table(spark, getattr(paths, name))
             for name in ("split_metrics", "group_metrics", "strategy", "strategy_metrics")}
 
