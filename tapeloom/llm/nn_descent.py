@@ -12,27 +12,27 @@ from ..functions.storage import cut
 from .common import shuffle_partitions
 
 DEGREE, REVERSE = 24, 16
-TREES, BITS, BLOCK = 12, 12, 512
+TREES, BITS, BLOCK = 3, 12, 16
 BEAM, EXPAND, ENTRIES = 64, 16, 64
 LEAST_CHANGE = 0.02
+GRID = 2.0 ** 40  # directions that agree on this grid are one node
+TIE = 12  # decimals of a score
 
 
 def clean_vectors(rows, vec_id="vec_id", vector="embedding"):
-    """(vec_id, raw) of the vectors that take part.
+    """(vec_id, raw) of the vectors that take part, of any length.
 
-    Left out: NULL ids, vectors that are NULL, empty, zero or hold a NULL or non-finite component, and vectors whose length
-    is not the most frequent one among the rest (the larger of equally frequent ones).
+    Left out: NULL ids and vectors that are NULL, empty, zero or hold a NULL or non-finite component.
     """
     some = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     some = some.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    top = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
 
     def pack(batches):
         for batch in batches:
             yield pd.DataFrame({"vec_id": batch["vec_id"], "raw": [np.asarray(v, "<f8").tobytes() for v in batch["v"]]})
 
-    return some.where(F.size("v") == (top.n if top else 0)).mapInPandas(pack, "vec_id long, raw binary").dropDuplicates()
+    return some.mapInPandas(pack, "vec_id long, raw binary").dropDuplicates()
 
 
 def _matrix(blobs, dtype):
@@ -63,18 +63,33 @@ def _cosine(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", _matrix(x, "<f4"), _matrix(y, "<f4")))
 
 
+def _directions(vectors):
+    """``vectors`` of one length with ``node``: the name of their direction, the same for scaled copies."""
+    def name(batches):
+        for batch in batches:
+            unit = _unit(batch["raw"]) if len(batch) else np.zeros((0, 0))
+            yield batch.assign(direction=[np.rint(u * GRID).astype("<i8").tobytes() for u in unit])
+
+    named = vectors.mapInPandas(name, "vec_id long, raw binary, direction binary")
+    return named.select("vec_id", "raw", F.xxhash64("direction").alias("node"))
+
+
 def make_nodes(vectors, members):
-    """(node, raw, unit, half, ids): one node per distinct vector, with its ``members`` smallest ids, all that a result can need."""
-    first = Window.partitionBy("raw").orderBy("vec_id")
-    few = vectors.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= members)
-    nodes = few.groupBy("raw").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("raw").alias("node"), "raw", "ids")
+    """(node, raw, unit, half, ids): one node per direction, with its ``members`` smallest ids, all that a result can need.
+
+    ``vectors``: rows (vec_id, raw, node). ``raw`` is the vector of the smallest id.
+    """
+    ids = vectors.groupBy("node", "vec_id").agg(F.min("raw").alias("raw"))
+    first = Window.partitionBy("node").orderBy("vec_id")
+    few = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= members)
+    nodes = few.groupBy("node").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min_by("raw", "vec_id").alias("raw"))
 
     def scale(batches):
         for batch in batches:
             unit = _unit(batch["raw"]) if len(batch) else np.zeros((0, 0))
             yield batch.assign(unit=[u.astype("<f4").tobytes() for u in unit], half=[u.astype("<f2").tobytes() for u in unit])
 
-    return cut(nodes.mapInPandas(scale, "node long, raw binary, ids array<bigint>, unit binary, half binary"))
+    return cut(nodes.select("node", "raw", "ids").mapInPandas(scale, "node long, raw binary, ids array<bigint>, unit binary, half binary"))
 
 
 def _top(edges, degree):
@@ -86,9 +101,11 @@ def _top(edges, degree):
 
 
 def _first_edges(nodes, degree):
-    """Neighbours inside blocks of rows that lie together in one of ``TREES`` random partitions.
+    """A rough start: neighbours inside small blocks of ``TREES`` random partitions.
 
-    A partition orders the nodes by the signs of hyperplanes, then by a projection; all partitions are dealt out at once.
+    A partition orders the nodes by the signs of random hyperplanes, then by a projection, and is cut into blocks of ``BLOCK`` to
+    ``2 * BLOCK - 1`` rows. Blocks of several partitions interlock, else no round could leave a block; most true
+    neighbours lie elsewhere, and the rounds have to find them.
     """
     def place(batches):
         for batch in batches:
@@ -108,9 +125,10 @@ def _first_edges(nodes, degree):
                     yield edges(held)
                     held = None
                 held = part if held is None else pd.concat((held, part), ignore_index=True)
-                while len(held) >= 2 * BLOCK:
-                    yield edges(held.iloc[:BLOCK])
-                    held = held.iloc[BLOCK // 2:].reset_index(drop=True)
+                full = max(len(held) // BLOCK - 1, 0)
+                for start in range(0, full * BLOCK, BLOCK):
+                    yield edges(held.iloc[start:start + BLOCK])
+                held = held.iloc[full * BLOCK:].reset_index(drop=True)
         if held is not None and len(held):
             yield edges(held)
 
@@ -185,14 +203,19 @@ def _local_joins(lists, nodes, graph):
     return dealt.mapInPandas(compare, "node long, nbr long, sim float")
 
 
+def first_graph(nodes):
+    """The graph before the first round."""
+    return cut(_top(_first_edges(nodes, DEGREE).withColumn("new", F.lit(True)), DEGREE))
+
+
 def build_graph(nodes):
     """Neighbour graph (node, nbrs) over all nodes by NN-descent.
 
-    Starts from ``TREES`` random partitions cut into blocks of ``BLOCK`` rows, whatever the size of a cluster. Each round joins
+    Starts from ``TREES`` random partitions cut into small blocks, whatever the size of a cluster. Each round joins
     every node's neighbours, forward and reverse, with their vectors and compares them with each other; a node keeps the
     ``DEGREE`` best it has met. Rounds go on until fewer than ``LEAST_CHANGE`` of all edges change.
     """
-    graph = cut(_top(_first_edges(nodes, DEGREE).withColumn("new", F.lit(True)), DEGREE))
+    graph = first_graph(nodes)
     edges = nodes.count() * DEGREE
     while True:
         better = _local_joins(_both_ways(graph), nodes, graph).withColumn("new", F.lit(True))
@@ -235,26 +258,43 @@ def greedy_search(graph, nodes, queries, starts, beam=BEAM):
 def nearest(rows, is_query, k=5, vec_id="vec_id", vector="embedding"):
     """The ``k`` nearest rows found for each query row: query_id, rank, vec_id, score.
 
-    ``is_query``: condition on ``vec_id`` that picks the queries; candidates are all rows but those of the query's own id.
-    Nearness is the cosine of the original vectors in double precision; equal scores order by id. Queries start at their
-    own node of the graph. Copies of a vector are one node, so a hot vector costs no more than another, and any of them can
-    be in a result. Rows that repeat id and vector count once; an id with several vectors is a query and a candidate with
-    each, and appears once, at its best score. Rows that ``clean_vectors`` leaves out take no part. No queries or no
-    candidates give no rows.
+    ``is_query``: condition on ``vec_id`` that picks the queries; candidates are all rows of the same vector length but those
+    of the query's own id. Nearness is the cosine of the original vectors in double precision, to ``TIE`` decimals; equal
+    scores order by id. All nodes of a query's beam are scored so, before any is left out. Queries start at their own node of
+    the graph. Vectors of one direction, copies scaled or not, are one node, so a hot vector costs no more than another, and any
+    of them can be in a result. Each vector length has a graph of its own. Rows that repeat id and vector count once; an id
+    with several vectors is a query and a candidate with each, and appears once, at its best score. Rows that
+    ``clean_vectors`` leaves out take no part. No queries or no candidates give no rows.
     """
     vectors = cut(clean_vectors(rows, vec_id, vector))
+    sizes = vectors.groupBy(F.octet_length("raw").alias("n")).agg(
+        F.count("*").alias("rows"), F.max(is_query).alias("asked")).orderBy("n").collect()  # a row per vector length
+    found = [_nearest(vectors.where(F.octet_length("raw") == s.n), is_query, k) for s in sizes if s.asked and s.rows > 1]
+    if not found:
+        return vectors.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    if len(found) > 1:  # an id may have vectors of several lengths
+        out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(vectors, is_query, k):
+    """``nearest`` among vectors of one length."""
+    vectors = cut(_directions(vectors))
     nodes = make_nodes(vectors, k + 1)
     graph = build_graph(nodes)
-    asked = cut(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("raw").alias("q")))
+    asked = cut(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct())
     queries = cut(nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("q"), "unit"))
     starts = graph.join(queries.select(F.col("q").alias("node")), "node", "left_semi").select(
         F.col("node").alias("q"), F.explode(F.concat(F.array("node"), F.transform("nbrs", lambda e: e["nbr"]))).alias("node"))
     starts = starts.union(queries.select("q", F.col("q").alias("node")))
-    met = greedy_search(graph, nodes, queries, starts)
-    close = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-    met = met.withColumn("nth", close).where(F.col("nth") <= 2 * k + 2)
+    met = greedy_search(graph, nodes, queries, starts).select("q", "node")
     scored = met.join(nodes.select("node", F.col("raw").alias("y"), "ids"), "node").join(
-        nodes.select(F.col("node").alias("q"), F.col("raw").alias("x")), "q").select("q", "ids", exact_cosine("x", "y").alias("score"))
+        nodes.select(F.col("node").alias("q"), F.col("raw").alias("x")), "q").select(
+        "q", "ids", F.round(exact_cosine("x", "y"), TIE).alias("score"))
     results = scored.select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     results = results.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * k + 2)

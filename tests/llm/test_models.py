@@ -160,9 +160,44 @@ def test_few_vectors(spark):
 def test_search_from_outside(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(400)]
-    nodes = nn_descent.make_nodes(nn_descent.clean_vectors(vectors(spark, rows)), 1)
+    nodes = nn_descent.make_nodes(nn_descent._directions(nn_descent.clean_vectors(vectors(spark, rows))), 1)
     graph = nn_descent.build_graph(nodes)
     asked = nodes.limit(20).select(F.col("node").alias("q"), "unit")
     out = nn_descent.greedy_search(graph, nodes, asked, nn_descent.entry_points(nodes, asked))
     best = out.groupBy("q").agg(F.max_by("node", "sim").alias("node"))
     assert best.where("q = node").count() >= 19
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(16)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(70)]
+    rows += [(70 + i, (x * (i + 1) / 7).tolist()) for i in range(30)] + [(100, (x + 0.01 * rng.standard_normal(16)).tolist())]
+    got = nn_descent.nearest(vectors(spark, rows), F.col("vec_id").isin(99, 100)).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 100] == [70, 71, 72, 73, 74]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 99] == [70, 71, 72, 73, 74]
+    assert all(r.score == 1.0 for r in got if r.query_id == 99)
+
+
+def test_every_vector_length_has_its_queries(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (50, [1.0, 2.0, 3.0]), (51, [3.0, 2.0, 1.0]), (52, [1.0, 2.0, 2.0, 1.0])]
+    got = nn_descent.nearest(vectors(spark, rows), F.col("vec_id").isin(0, 50, 52)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 2), (0, 2, 1), (50, 1, 51)]
+
+
+def test_rounds_earn_the_recall(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 12)).astype(np.float32)
+    nodes = nn_descent.make_nodes(nn_descent._directions(nn_descent.clean_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]))), 1)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    true = np.argsort(-sims, axis=1)[:, :10]
+    ids = {r.node: r.ids[0] for r in nodes.select("node", "ids").collect()}
+
+    def recall(graph):
+        near = {ids[r.node]: {ids[e["nbr"]] for e in r.nbrs} for r in graph.collect()}
+        return np.mean([len(set(t.tolist()) & near.get(i, set())) / 10 for i, t in enumerate(true)])
+
+    assert recall(nn_descent.first_graph(nodes)) < 0.4
+    assert recall(nn_descent.build_graph(nodes)) >= 0.9
