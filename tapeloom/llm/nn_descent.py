@@ -13,7 +13,7 @@ from .common import shuffle_partitions
 
 DEGREE, REVERSE = 24, 16
 TREES, BITS, BLOCK = 3, 12, 16
-BEAM, EXPAND, ENTRIES = 64, 16, 64
+BEAM, EXPAND, ENTRIES = 256, 64, 64
 LEAST_CHANGE = 0.02
 GRID = 2.0 ** 40  # directions that agree on this grid are one node
 TIE = 12  # decimals of a score
