@@ -128,7 +128,16 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", strip_markup("text").alias("clean"))
 
 
-@query("clean_markup")
+def _sql_decoded(c):
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
+
+
+_SQL_SHOWN = f"regexp_replace({_sql_decoded('html')}, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^<>]*>', ' ', 'gs')"
+
+
+@query("clean_markup", f"SELECT page_id, coalesce({sql_clean(_sql_decoded(_SQL_SHOWN))}, '') AS clean FROM pages")
 def clean_markup(spark, d):
     return table(spark, d, "pages").select("page_id", strip_markup("html").alias("clean"))
 

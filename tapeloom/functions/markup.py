@@ -19,6 +19,24 @@ _HIDDEN = {"script", "style", "template"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3",
            "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
+# Entities that need no parser, besides &amp;, and elements whose content is not parsed as usual.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae",
+            "middot": "\u00b7", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019",
+            "ldquo": "\u201c", "rdquo": "\u201d", "hellip": "\u2026", "raquo": "\u00bb", "laquo": "\u00ab"}
+_RAW = ("script", "style", "title", "template", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext",
+        "svg", "math")
+
+_STRANGE_ENTITY = f"&(?!(?:amp|{'|'.join(ENTITIES)});)[#A-Za-z]"
+_GAP = r"[ \t\n\r\f]"
+_ATTRIBUTES = rf"(?:{_GAP}++[A-Za-z_:][-A-Za-z0-9_:.]*+(?:=\"[^\"<>]*+\")?+){{0,50}}+{_GAP}*+"
+_MARKUP = "(?i)" + "|".join((
+    *[rf"<{raw}{_ATTRIBUTES}>[^<]*+(?:<(?!!--|/{raw})[^<]*+){{0,200}}+</{raw}{_GAP}*+>" for raw in ("script", "style")],
+    rf"<title{_ATTRIBUTES}>([^<]*+)</title{_GAP}*+>",
+    rf"<(?!(?:{'|'.join(_RAW)})(?![A-Za-z0-9]))[a-z][a-z0-9]*+{_ATTRIBUTES}/?+>",
+    rf"</[a-z][a-z0-9]*+{_GAP}*+>",
+    "<!--[^<>-]*+-->",
+    rf"\A{_GAP}*+<!DOCTYPE [^<>]*+>"))
+
 
 class Outline(HTMLParser):
     """Elements in document order as ``(tag, attributes, ancestors)`` and text pieces with their open elements."""
@@ -156,8 +174,32 @@ def _plain(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def _decoded(c):
+    """``c`` with the entities of ``ENTITIES`` replaced, in one pass as far as the text can tell."""
+    for name, char in ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+
+def _plain_natively(t):
+    """``_plain`` as expressions; NULL for texts that need the parser.
+
+    Every ``<`` must begin a tag with plain or double-quoted attributes, a comment without dashes, a doctype at the start, or a whole
+    script, style or title; and every entity must be one of the list. Whatever is not so leaves a ``<`` or a strange ``&`` behind.
+    """
+    value = F.when(~t.rlike(_STRANGE_ENTITY), _decoded(t))
+    shown = F.regexp_replace(value, _MARKUP, " $1 ")
+    simple = ~F.contains(shown, F.lit("<")) & ~shown.rlike(_STRANGE_ENTITY)
+    tagged = F.contains(value, F.lit("<")) & F.contains(value, F.lit(">"))
+    return F.when(tagged, F.when(simple, _decoded(shown))).otherwise(value)
+
+
 def strip_markup(text):
-    """Unescape entities, drop tags, squeeze white space. Only texts that hold an entity or a tag visit Python."""
+    """Unescape entities, drop tags, squeeze white space.
+
+    Common markup is taken off by expressions; only texts that these cannot decide visit Python's parser. NULL is blank.
+    """
     t = blank_if_null(text)
     marked = t.rlike("&[#A-Za-z]") | (F.contains(t, F.lit("<")) & F.contains(t, F.lit(">")))
-    return squeeze(F.coalesce(_plain(F.when(marked, t)), t))
+    native = F.when(marked, _plain_natively(t)).otherwise(t)
+    return squeeze(F.coalesce(native, _plain(F.when(native.isNull(), t))))

@@ -90,9 +90,10 @@ def prepare_news(spark, paths, zone="Asia/Shanghai", close="15:00", threshold=0.
     return aligned
 
 
-def encode_text(spark, paths, dim=16, text="content_clean", encoder=None):
+def encode_text(spark, paths, dim=16, text="content_clean", encoder=None, make_encoder=None):
     """Aligned articles to encoded articles."""
-    tb.write_table(tf.encode_news(tb.read_table(spark, paths.aligned_news), dim, text, encoder), paths.encoded_news)
+    aligned = tb.read_table(spark, paths.aligned_news)
+    tb.write_table(tf.encode_news(aligned, dim, text, encoder, make_encoder), paths.encoded_news)
     return tb.read_table(spark, paths.encoded_news)
 
 

@@ -1,8 +1,12 @@
 import hashlib
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as X
+from tapeloom.functions import markup
 from tapeloom.functions.markup import strip_markup
 from tapeloom.operators import calendar as cal, cleaning, dedup, text_features as tf
 from tapeloom.sources import articles as art
@@ -146,3 +150,57 @@ def test_encoders(spark):
     assert rows[2].embedding == [digest[i % 32] / 255 * 2 - 1 for i in range(40)]
     own = tf.encode_news(df, 3, encoder=lambda texts: ([[0.2, 0.3, 0.5]] * len(texts), [[1.0] * 5] * len(texts)))
     assert own.first().embedding == [1.0, 1.0, 1.0] and own.first().neg == 0.3
+
+
+def test_a_model_is_made_once_per_worker_and_sees_each_text_once(spark, tmp_path):
+    made, seen = tmp_path / "made", tmp_path / "seen"
+    made.mkdir(), seen.mkdir()
+
+    def make():
+        (made / f"{os.getpid()}-{random.random()}").touch()
+
+        def encode(texts):
+            for t in texts:
+                with open(seen / hashlib.sha1(t.encode()).hexdigest(), "a") as out:
+                    out.write("x")
+            return [[len(t), 0, 0] for t in texts], [[float(len(t))] for t in texts]
+
+        return encode
+
+    texts = [None, "", "a", "bb", *["hot text"] * 300, *["c" * i for i in range(3, 60)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content_clean string").repartition(40)
+    rows = {r.id: r for r in tf.encode_news(df, 2, make_encoder=make).collect()}
+    assert len(rows) == len(texts) and rows[0].content_clean is None
+    assert all(rows[i].pos == len(t or "") and rows[i].embedding[0] == len(t or "") for i, t in enumerate(texts))
+    workers = [f.name.split("-")[0] for f in made.iterdir()]
+    assert workers and len(workers) == len(set(workers))
+    assert len(list(seen.iterdir())) == len({t or "" for t in texts}) and all(f.read_text() == "x" for f in seen.iterdir())
+    assert tf.encode_news(df.limit(0), 2, make_encoder=make).count() == 0
+
+
+PIECES = ["<p>", "</p>", "<br/>", "<br>", '<a href="/x?y=1&amp;z" class="b">', "</a>", "<A  HREF='q'>", "<b", "<", ">", " < ", "&", "&amp;",
+          "&amp", "&lt;", "&gt;", "&amp;lt;", "&copy;", "&copy", "&#8217;", "&#39;", "&nbsp;", "&notit;", "&middot;", "<!-- c -->",
+          "<!-- <p> -->", "<!--a-b-->", "<script>", "</script>", '<script type="x">var t="</p>";</script>', "<style>p{x:y}</style>",
+          "<style>", "</style >", "<title>", "</title>", "<title>t &amp; u</title>", "<template>", "</template>", "<svg>",
+          "<!DOCTYPE html>", "<![CDATA[x]]>", "<?php ?>", "</", "</ p>", "<p/>", "<x-y>", "<li>", "word", " two words ", "\n", "\t",
+          "\u00a0", "\u200b", "é", "株", "<hr a b>", '<i t="a>b">', '<i t="<script>">', "<textarea>", "\x0b", "\x00"]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_native_markup_equals_the_parser(spark, seed):
+    rng = random.Random(seed)
+    few = rng.sample(PIECES, 25)
+    texts = ["".join(rng.choices(few if i % 2 else PIECES, k=rng.randrange(1, 9))) for i in range(4000)]
+    texts += [None, "", "<p>" * 3000 + "x", "<p " + "a " * 3000 + ">y", "<script>" + "<" * 5000 + "</script>z", "&amp;" * 50_000 + "<p>q</p>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    t = X.blank_if_null("t")
+    pairs = df.select("t", markup._plain_natively(t).alias("n"), strip_markup("t").alias("got"), X.squeeze(markup._plain(t)).alias("want"))
+    assert pairs.where("got != want or got is null").limit(3).collect() == []
+    assert pairs.where("n is not null").count() > 400
+
+
+def test_common_pages_need_no_parser(spark):
+    page = ('<!DOCTYPE html><html lang="en"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- ad 1 -->'
+            '<p><a href="/x">one</a> &copy; <b>two<br></body></html>')
+    row = spark.createDataFrame([(page,)], "t string").select(X.squeeze(markup._plain_natively(F.col("t"))).alias("n"), strip_markup("t").alias("s"))
+    assert tuple(row.first()) == ("A & B one \u00a9 two",) * 2
