@@ -8,10 +8,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .numeric import as_col
-from .text import blank_if_null, squeeze
+from .text import blank_if_null, squeeze, strip
 
 # HTML elements without content, elements whose text is not shown, and blocks that end a paragraph.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -163,6 +165,89 @@ def extract_links(html: pd.Series, selector: pd.Series, base: pd.Series) -> pd.S
     return pd.Series([outline_links(Outline(h), s, b or "") for h, s, b in zip(html, selector, base)])
 
 
+_STRINGS, _PATH = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
+OUTLINE = T.StructType([
+    T.StructField("elements", T.ArrayType(T.StructType([
+        T.StructField("tag", T.StringType()), T.StructField("classes", _STRINGS), T.StructField("names", _STRINGS),
+        T.StructField("values", _STRINGS), T.StructField("path", _PATH)]))),
+    T.StructField("texts", T.ArrayType(T.StructType([
+        T.StructField("piece", T.StringType()), T.StructField("path", _PATH), T.StructField("hidden", T.IntegerType())])))])
+
+
+@F.arrow_udf(OUTLINE)
+def page_outline(html: pa.Array) -> pa.Array:
+    """The outline of a page as a column, to be stored and asked many times.
+
+    ``elements`` in document order with the indexes of their ancestors; ``texts`` with the elements around them and the innermost of
+    these whose text is not shown (-1: none). NULL is a page without elements.
+    """
+    def one(text):
+        page = Outline(text)
+        elements = [{"tag": tag, "classes": attrs.get("class", "").split(), "names": list(attrs), "values": list(attrs.values()), "path": path}
+                    for tag, attrs, path in page.elements]
+        texts = [{"piece": piece, "path": path, "hidden": max((i for i in path if page.elements[i][0] in _HIDDEN), default=-1)}
+                 for piece, path in page.texts]
+        return {"elements": elements, "texts": texts}
+
+    return pa.array([one(h.as_py()) for h in html], to_arrow_type(OUTLINE))
+
+
+def _steps(selector):
+    """A selector as (tag, classes) from the outermost step to the last."""
+    def step(word):
+        parts = F.split(word, r"\.")
+        return F.struct(F.get(parts, F.lit(0)).alias("tag"), F.slice(parts, F.lit(2), F.size(parts)).alias("classes"))
+
+    return F.transform(F.filter(F.split(selector, r"\s+"), lambda w: w != ""), step)
+
+
+def _fits(element, step):
+    return ((step["tag"] == "") | (step["tag"] == element["tag"])) & (F.size(F.array_except(step["classes"], element["classes"])) == 0)
+
+
+def _found(outline, selector):
+    """Indexes of the elements that match a selector column."""
+    elements, steps = outline["elements"], _steps(selector)
+    outer = F.size(steps) - 1
+
+    def place(element, index):
+        left = F.aggregate(F.reverse(element["path"]), outer, lambda n, above: F.when(
+            (n > 0) & _fits(F.get(elements, above), F.get(steps, n - 1)), n - 1).otherwise(n))
+        return F.when(_fits(element, F.get(steps, outer)) & (left == 0), index)
+
+    return F.filter(F.transform(elements, place), lambda i: i.isNotNull())
+
+
+def _attr(outline, index, name):
+    element = F.get(outline["elements"], index)
+    return F.get(element["values"], (F.array_position(element["names"], name) - 1).cast("int"))
+
+
+def stored_text(outline, selector, sep=" "):
+    """``select_text`` on a ``page_outline`` column; ``selector`` is a column."""
+    def text_of(index):
+        below = F.filter(outline["texts"], lambda t: F.array_contains(t["path"], index) & (t["hidden"] <= index))
+        return F.array_join(F.transform(below, lambda t: t["piece"]), " ")
+
+    return blank_if_null(strip(F.array_join(F.transform(_found(outline, selector), text_of), sep)))
+
+
+def stored_attr(outline, selector, name):
+    """``select_attr`` on a ``page_outline`` column."""
+    return blank_if_null(strip(_attr(outline, F.get(_found(outline, selector), F.lit(0)), name)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _resolved(hrefs: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([list(dict.fromkeys(urljoin(b or "", h) for h in some)) for some, b in zip(hrefs, base)])
+
+
+def stored_links(outline, selector, base):
+    """``extract_links`` on a ``page_outline`` column; Python only resolves the addresses."""
+    hrefs = F.transform(_found(outline, selector), lambda i: strip(_attr(outline, i, "href")))
+    return _resolved(F.coalesce(F.filter(hrefs, lambda h: h != ""), F.array().cast("array<string>")), base)
+
+
 @F.pandas_udf(T.StringType())
 def _plain(texts: pd.Series) -> pd.Series:
     def one(text):

@@ -30,15 +30,19 @@ def extract_news(spark, paths, sources, starts, crawl_time=None, adapters=None,
     """Pages table to the raw article table: registry filter, links, pages, records, first record per id.
 
     What is left out has its own tables: ``unknown_sources`` (no reader for the adapter), ``missing_pages`` (links without a
-    stored page), ``rejected_pages`` (parse errors and invalid records) and ``surplus_pages`` (ids with more records).
+    stored page), ``rejected_pages`` (parse errors and invalid records) and ``surplus_pages`` (ids with more records). A page
+    is parsed once, be it a listing, an article or both.
     """
     pages = tb.read_table(spark, paths.pages)
     active = pg.enabled_sources(sources, adapters)
-    links = pg.listing_links(pages, active, starts.join(active.select("source"), "source", "left_semi"))
-    links = cut(links)
+    begun = starts.join(active.select("source"), "source", "left_semi")
+    listed = pg.outline_pages(pages.join(begun.select("url"), "url", "left_semi").select("url", "html"))
+    links = cut(pg.listing_links(listed, active, begun))
     tb.write_table(pg.unknown_adapters(sources, adapters), paths.unknown_sources)
     tb.write_table(pg.missing_details(links, pages), paths.missing_pages)
-    parsed = cut(pg.parse_articles(pg.fetch_details(links, pages), active, crawl_time, adapters, zone))
+    linked = pages.join(links.select(F.col("link").alias("url")), "url", "left_semi").select("url", "html")
+    details = pg.fetch_details(links, pg.outline_pages(linked, listed))
+    parsed = cut(pg.parse_articles(details, active, crawl_time, adapters, zone))
     tb.write_table(parsed.where("parse_error is not null or reject_reason is not null"), paths.rejected_pages)
     found = parsed.where("parse_error is null and reject_reason is null").drop("parse_error", "reject_reason")
     tb.write_table(art.surplus_ids(found), paths.surplus_pages)

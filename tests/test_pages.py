@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
-from tapeloom.functions.markup import Outline, outline_attr, outline_links, outline_text
+from tapeloom.functions.markup import (Outline, outline_attr, outline_links, outline_text, page_outline, stored_attr, stored_links,
+                                       stored_text)
 from tapeloom.plans import jobs
 from tapeloom.sources import articles as art, pages as pg
 
@@ -93,3 +96,41 @@ def test_limit_holds_for_a_source_with_most_links(spark):
     got = pg.listing_links(pages, sources, starts, spread=4)
     assert sorted(r.link for r in got.where("source = 'hot'").collect()) == sorted(f"http://h.test/x{i}" for i in range(7))
     assert got.where("source = 'all' and link like 'http://b.test/x%'").count() == 300
+
+
+def test_stored_outline_answers_as_the_parsed_page(spark):
+    rng = random.Random(5)
+    tags = ["<div class='x y'>", "<div class=x>", "</div>", "<p>", "</p>", "<p class='y'>", "<ul>", "<li>", "</ul>", "<a href='/q'>", "</a>",
+            "<a class='x' href=' z#1 '>", "<script>", "</script>", "<template>", "</template>", "<br>", "<hr/>", "a", " b ", "\u00a0c", "&amp;"]
+    pages = ["".join(rng.choices(tags, k=rng.randrange(0, 25))) for _ in range(250)] + [None, "", LISTING]
+    selectors = ["p", "div p", ".x", "div.x.y", "div .x", "ul li a", "div div p", "a.x", "script", "template p", " div  p ", "a..x", "b"]
+    rows = [(i, h, s) for i, h in enumerate(pages) for s in selectors]
+    df = spark.createDataFrame(rows, "id int, h string, s string").withColumn("o", page_outline("h"))
+    o, s = F.col("o"), F.col("s")
+    got = df.select("h", "s", stored_text(o, s, "|").alias("text"), stored_attr(o, s, "class").alias("attr"),
+                    stored_links(o, s, F.lit("http://h.test/d/")).alias("links")).collect()
+    for r in got:
+        page = Outline(r.h)
+        want = outline_text(page, r.s, "|"), outline_attr(page, r.s, "class"), outline_links(page, r.s, "http://h.test/d/")
+        assert (r.text, r.attr, r.links) == want, (r.h, r.s)
+
+
+def test_articles_from_stored_outlines(site):
+    pages, sources, starts = site
+    active = pg.enabled_sources(sources)
+    listed = pg.outline_pages(pages.where("url like '%list%'"))
+    links = pg.listing_links(listed, active, starts)
+    assert sorted(links.collect()) == sorted(pg.listing_links(pages, active, starts).collect())
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    plain = pg.parse_articles(pg.fetch_details(links, pages), active, now)
+    stored = pg.parse_articles(pg.fetch_details(links, pg.outline_pages(pages, listed)), active, now)
+    assert stored.columns == plain.columns and sorted(map(str, stored.collect())) == sorted(map(str, plain.collect()))
+    assert "MapInPandas" not in stored._jdf.queryExecution().executedPlan().toString()
+    bare = active.withColumn("selectors", F.map_filter("selectors", lambda k, _: k != "content_selector"))
+    for some in (pages, listed.unionByName(pg.outline_pages(pages.where("url not like '%list%'")))):
+        out = pg.parse_articles(pg.fetch_details(links, some), bare, now)
+        assert {r.parse_error for r in out.collect()} == {"KeyError: 'content_selector'"}
+    own = {"html_list_detail": pg.read_list_detail, "other": lambda html, chosen: ("own", "2024-03-01 10:00:00", "c", "")}
+    both = pg.fetch_details(links.unionByName(links.withColumn("source", F.lit("odd"))), pg.outline_pages(pages))
+    found = pg.parse_articles(both, pg.enabled_sources(sources, own), now, own)
+    assert found.where("source = 'odd' and title = 'own'").count() == 3 and found.where("source = 's'").count() == 3
