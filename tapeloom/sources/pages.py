@@ -114,7 +114,7 @@ def parse_articles(details, sources, crawl_time=None, adapters=None, zone="Asia/
 
     ``crawl_time`` is one NTZ timestamp column for the run (default: now). A ``publish_time`` column of ``details``
     stands in when the page has no time. With an ``outline`` column the default adapter reads that and parses nothing;
-    other adapters get the HTML.
+    other adapters get the HTML. The fields read so are stored.
     """
     readers = dict(adapters or ADAPTERS)
     joined = details.join(sources.select("source", "adapter", "selectors"), "source")
@@ -136,7 +136,7 @@ def parse_articles(details, sources, crawl_time=None, adapters=None, zone="Asia/
     others = joined.where(~F.col("adapter").isin(stored)) if stored else joined
     parsed = others.select(*kept, "html", "adapter", "selectors").mapInPandas(run, schema)
     if stored:
-        native = joined.where(F.col("adapter").isin(stored)).select(*kept, *_stored_fields())
+        native = cut(joined.where(F.col("adapter").isin(stored)).select(*kept, *_stored_fields()))  # fields are used many times
         parsed = native if len(stored) == len(readers) else native.unionByName(parsed)
     published = wall_time("publish_raw", zone)
     if "publish_time" in kept:
