@@ -232,7 +232,7 @@ def constant_model(spark, d):
 @query("union_splits", f"""WITH {PREDICTIONS} SELECT run_name, symbol, trade_date, split FROM pred
                            WHERE split IN ('train', 'valid', 'test')""")
 def union_splits(spark, d):
-    p = predictions(spark, d).select("run_name", "symbol", "trade_date", "split")
+    p = cut(predictions(spark, d).select("run_name", "symbol", "trade_date", "split"))  # worked out once for the three parts
     parts = [p.where(F.col("split") == s) for s in model.SCORED_SPLITS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
