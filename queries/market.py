@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapeloom.contracts import MARKET_FEATURES
+from tapeloom.functions.storage import cut
 from tapeloom.operators import calendar as cal, dataset, market
 
 from . import query
@@ -101,7 +102,8 @@ def market_features(spark, d):
 @query("market_features_blocks", _ALL)
 def market_features_blocks(spark, d):
     """The same features with every series cut into blocks."""
-    return _all(market.market_features(bars(spark, d), SPLITS, block_rows=100))
+    rows = cut(bars(spark, d))  # read twice: to number the blocks and to fill them
+    return _all(market.market_features(rows, SPLITS, block_rows=100))
 
 
 @query("trade_calendar", f"WITH {BARS} SELECT DISTINCT trade_date FROM bars")

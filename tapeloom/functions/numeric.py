@@ -33,11 +33,6 @@ def flag(condition):
     return F.when(condition, 1).otherwise(0)
 
 
-def filled(c, value):
-    x = finite(c)
-    return x if value is None else F.coalesce(x, F.lit(float(value)))
-
-
 def epoch_micros(df, name):
     """Microseconds since 1970 of a timestamp column; naive values count as wall time, whatever the session zone."""
     if dict(df.dtypes)[name] == "timestamp_ntz":

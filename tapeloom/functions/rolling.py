@@ -14,6 +14,20 @@ def _back(values, k):
     return values if k == 0 else np.concatenate([np.full(min(k, len(values)), np.nan), values[:-k]])
 
 
+def lagged(values, place, n):
+    """``values`` n rows earlier in the same series; NaN in its first n rows."""
+    return np.where(place > n, _back(values, n), np.nan)
+
+
+def quotient(values, base):
+    """``values / base``, NaN on a zero base."""
+    return np.where(base == 0.0, np.nan, values / base)
+
+
+def relative(values, base):
+    return quotient(values, base) - 1.0
+
+
 def rolling_mean(values, n):
     total = np.zeros(len(values))
     for k in range(n - 1, -1, -1):

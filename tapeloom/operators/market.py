@@ -10,8 +10,9 @@ from pyspark.sql import Window, functions as F
 
 from ..contracts import (BASE_INPUTS, DEFAULT_SPLITS, MARKET_FEATURES, MOMENTUM, MOVING_AVERAGES, REGIMES, RETURNS, SERIES,
                          VOLATILITY)
-from ..functions.numeric import as_col, change, filled, flag, ratio, with_finite
-from ..functions.rolling import rolling_cov, rolling_mean, rolling_median, rolling_std, with_rolling
+from ..functions.numeric import as_col, change, flag, ratio, with_finite
+from ..functions.rolling import (lagged, quotient, relative, rolling_cov, rolling_mean, rolling_median, rolling_std,
+                                 with_rolling)
 
 RETURN_STEPS = (1, 2, 3, 5, 10, 20)
 VOLATILITY_WINDOWS = (5, 10, 20)
@@ -183,55 +184,54 @@ def series_blocks(df, block_rows, keys=SERIES, order="trade_date", look_back=LOO
             .drop("_blocks", "_home", "_of", *[f"_key_{i}" for i in range(len(keys))]))
 
 
-_ROLLED = [*VOLATILITY, *[f"price_volume_corr_{n}" for n in CORR_WINDOWS], "_gains", "_losses", "_median"]
+_LAGGED = [*RETURNS, *[f"momentum_{n}" for n in MOMENTUM_STEPS], *[f"volume_change_{n}" for n in VOLUME_STEPS], "gap_return",
+           "hl_range", "oc_return", *[f"{kind}_{n}" for kind in ("ma", "ma_gap") for n in MA_WINDOWS]]
+_ROLLED = [*VOLATILITY, *[f"price_volume_corr_{n}" for n in CORR_WINDOWS], f"rsi_{RSI_PERIOD}", "_median"]
 
 
 def _rolled(values, place):
-    x, y, step = values["ret_1"], values["volume_change_1"], values["_step"]
+    """The features of a batch of sorted rows; NaN stands for NULL and for infinities."""
+    open_, close, volume = values["open"], values["close"], values["volume"]
+    before = {n: lagged(close, place, n) for n in {1, *RETURN_STEPS, *MOMENTUM_STEPS}}
+    made = {f"ret_{n}": relative(close, before[n]) for n in RETURN_STEPS}
+    made |= {f"momentum_{n}": close - before[n] for n in MOMENTUM_STEPS}
+    made |= {f"volume_change_{n}": relative(volume, lagged(volume, place, n)) for n in VOLUME_STEPS}
+    made["gap_return"] = relative(open_, before[1])
+    made["hl_range"], made["oc_return"] = quotient(values["high"] - values["low"], close), quotient(close - open_, open_)
+    made |= {f"ma_{n}": np.where(place >= n, rolling_mean(close, n), np.nan) for n in MA_WINDOWS}
+    made |= {f"ma_gap_{n}": relative(close, made[f"ma_{n}"]) for n in MA_WINDOWS}
+    x, y, step = made["ret_1"], made["volume_change_1"], close - before[1]
     sx = {n: rolling_std(x, n) for n in {*VOLATILITY_WINDOWS, *CORR_WINDOWS}}
-    made = {f"volatility_{n}": np.where(place >= n, sx[n], np.nan) for n in VOLATILITY_WINDOWS}
+    made |= {f"volatility_{n}": np.where(place >= n, sx[n], np.nan) for n in VOLATILITY_WINDOWS}
     for n in CORR_WINDOWS:
         sy = rolling_std(y, n)
         varied = (place >= n) & ~(sx[n] <= 1e-12) & ~(sy <= 1e-12)
         made[f"price_volume_corr_{n}"] = np.where(varied, rolling_cov(x, y, n) / (sx[n] * sy), np.nan)
     full = place >= RSI_PERIOD
-    made["_gains"] = np.where(full, rolling_mean(np.maximum(step, 0.0), RSI_PERIOD), np.nan)
-    made["_losses"] = np.where(full, rolling_mean(np.maximum(-step, 0.0), RSI_PERIOD), np.nan)
+    gains = np.where(full, rolling_mean(np.maximum(step, 0.0), RSI_PERIOD), np.nan)
+    losses = np.where(full, rolling_mean(np.maximum(-step, 0.0), RSI_PERIOD), np.nan)
+    made[f"rsi_{RSI_PERIOD}"] = 100.0 - quotient(100.0, 1.0 + quotient(gains, losses))
     vol = made["volatility_20"]
     made["_median"] = rolling_median(np.where(np.isinf(vol), np.nan, vol), place, VOL_MEDIAN_WINDOW, VOL_MEDIAN_MIN)
-    return made
+    return {c: np.where(np.isfinite(v), v, np.nan) for c, v in made.items()}
 
 
 def _features(df, keys, order, earlier_peak):
-    """The columns of the ``with_*`` functions: one window pass over the bars, one rolling pass over the daily changes.
+    """The columns of the ``with_*`` functions: one window pass over the bars, one rolling pass over the sorted rows.
 
     Spark's sliding frames go through all rows of a frame again for every row, one update at a time; the rolling pass does
-    the same updates for a batch of rows at once. ``df`` holds finite inputs.
+    the same updates for a batch of rows at once. Only the bars, the next day's prices and the peak go through it, and few
+    expressions follow it: Java does not compile a method of more than 8000 bytes, so a long projection would be interpreted.
+    ``df`` holds finite inputs.
     """
     kept, w = df.columns, series_window(keys, order)
-    back = sorted({1, *RETURN_STEPS, *MOMENTUM_STEPS})
-    bars = {f"_close_{n}": F.lag("close", n).over(w) for n in back}
-    bars |= {f"_volume_{n}": F.lag("volume", n).over(w) for n in VOLUME_STEPS}
-    bars |= {"_next_close": F.lead("close", 1).over(w), "_next_open": F.lead("open", 1).over(w),
-             "_high_close": F.max("close").over(_so_far(keys, order)), "_place": F.row_number().over(w)}
-    bars |= {f"ma_{n}": _full(F.col("close"), F.avg, n, keys, order) for n in MA_WINDOWS}
-    df = with_price_shape(df.withColumns(bars))
-    step = F.col("close") - F.col("_close_1")
     df = df.withColumns({
-        **{f"ret_{n}": change("close", f"_close_{n}") for n in RETURN_STEPS},
-        **{f"ma_gap_{n}": change("close", f"ma_{n}") for n in MA_WINDOWS},
-        **{f"momentum_{n}": F.col("close") - F.col(f"_close_{n}") for n in MOMENTUM_STEPS},
-        **{f"volume_change_{n}": change("volume", f"_volume_{n}") for n in VOLUME_STEPS},
-        "gap_return": change("open", "_close_1"), "_step": step,
-        "next_ret_1": change("_next_close", "close"), "next_oc_return": change("_next_close", "_next_open"),
-    })
-
-    df = with_rolling(df, ["ret_1", "volume_change_1", "_step"], "_place", _ROLLED, LOOK_BACK, _rolled)
+        "_next_close": F.lead("close", 1).over(w), "_next_open": F.lead("open", 1).over(w),
+        "_high_close": F.max("close").over(_so_far(keys, order)), "_place": F.row_number().over(w)})
+    df = with_rolling(df, BASE_INPUTS, "_place", [*_LAGGED, *_ROLLED], LOOK_BACK, _rolled)
+    df = df.withColumns({"next_ret_1": change("_next_close", "close"), "next_oc_return": change("_next_close", "_next_open")})
     up = F.when(F.col("next_ret_1").isNotNull(), flag(F.col("next_ret_1") > 0.0).cast("double"))
-    strength = ratio("_gains", "_losses")
-    made = {f"rsi_{RSI_PERIOD}": 100.0 - ratio(F.lit(100.0), 1.0 + strength), "y_cls": up}
-    df = with_finite(df.withColumns(made), ["ma_gap_20", "volatility_20"])
-    df = _with_flags(df, F.col("_median"), F.col("_high_close"), earlier_peak)
+    df = _with_flags(df.withColumn("y_cls", up), F.col("_median"), F.col("_high_close"), earlier_peak)
     return df.select(*kept, *FEATURE_COLUMNS)
 
 
@@ -245,6 +245,6 @@ def market_features(bars, split_dates=None, keys=SERIES, order="trade_date", fil
         df = df.where("_own").drop("_own", "_block", "_peak")
     else:
         df = _features(bars, list(keys), order, None)
-    ints = {"trend_regime", "vol_regime", "drawdown_state"}
-    df = df.withColumns({c: filled(c, fill_value) for c in MARKET_FEATURES if c not in ints})
+    if fill_value is not None:  # the features hold no infinities
+        df = df.withColumns({c: F.coalesce(c, F.lit(float(fill_value))) for c in MARKET_FEATURES if c not in REGIMES})
     return df.withColumn("split", split_of(order, split_dates))
