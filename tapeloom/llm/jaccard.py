@@ -10,6 +10,7 @@ from .common import broadcast_if_small, shuffle_partitions
 
 HOT, MAX_HOT, GROUP = 16, 500_000, 64
 PAIRS = 200_000  # pairs a task holds at once
+CELL, DRAWS = 16, 2  # rows of a token that meet at random in a round, and how often each node is dealt
 NUM, DEN = 4, 5  # Jaccard threshold NUM / DEN
 
 
@@ -200,6 +201,80 @@ def _verified(pairs, sets, column, dtype):
         check, "a long, b long, na long, nb long")
 
 
+SKETCH = [f"f{i}" for i in range(16)]
+
+
+def sketch(tokens):
+    """64 flags for each of ``SKETCH``, one of them set by every token."""
+    flags = np.zeros(64 * len(SKETCH), bool)
+    flags[tokens >> np.uint64(64 - (len(flags) - 1).bit_length())] = True
+    return np.packbits(flags).view(np.int64)
+
+
+def _sketches(sets):
+    def run(batches):
+        for batch in batches:
+            flags = [sketch(np.frombuffer(x, np.uint64)) for x in batch["whole"]]
+            yield pd.DataFrame(np.array(flags, np.int64).reshape(-1, len(SKETCH)), columns=SKETCH).assign(node=batch["node"].to_numpy())
+
+    return sets.select("node", "whole").mapInPandas(run, ", ".join(f"{c} long" for c in SKETCH) + ", node long")
+
+
+def _meetings(x, by, first):
+    """Pairs (a, b, na, nb) of rows of different classes that agree in ``by`` and could reach the threshold.
+
+    A flag that only one of two sketches has set stands for at least one token that only that set holds, so sizes less such
+    flags bound the overlap.
+    """
+    sides = [x.select(*by, *[F.col(c).alias(f"{c}{end}") for c in ("node", "n", "pos", "root", *SKETCH)]) for end in ("a", "b")]
+    alone = [" + ".join(f"bit_count({c}{p} & ~{c}{q})" for c in SKETCH) for p, q in ("ab", "ba")]
+    enough = f"({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}"
+    met = sides[0].join(sides[1], by).where("nodea < nodeb and roota != rootb").where(
+        f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)").where(
+        f"least(na - ({alone[0]}), nb - ({alone[1]})) >= {enough}")
+    if first:  # of a similar pair, what follows the first shared token is long enough
+        met = met.where(f"least(na - posa, nb - posb) >= {enough}")
+    return met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").distinct()
+
+
+def _dealt(named, nth):
+    """Rows of ``named`` dealt for a round: each node with the smallest of its tokens under a hash, so similar sets tend to
+    agree in it, and the rows of a token in random cells of about ``CELL``."""
+    fields = ["token", "node", "n", "pos", "root", *SKETCH]
+    one = named.groupBy("node").agg(F.min_by(F.struct(*fields), F.struct(F.xxhash64("token", F.lit(nth)), "token")).alias("r")).select("r.*")
+    cells = one.groupBy("token").agg(F.ceil(F.count("*") / CELL).alias("cells")).where("cells > 0")
+    return one.join(cells, "token").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(nth)), F.col("cells")))
+
+
+def _across(common, sets, links, tried, compare):
+    """The links between nodes that share a common token and are in different classes by the ``links`` so far.
+
+    ``common`` has the rows (token, node, n, pos). As most nodes of a large group end in one class, random cells of a group are
+    compared first, in rounds, for as long as a round joins a tenth of the classes; the cost of a round is in proportion to
+    the nodes. What is then still apart is compared with every node of another class whose sketch allows a link.
+    """
+    marked = cut(common.select("token", "node", "n", "pos").join(_sketches(sets), "node"))
+    before = None
+    for nth in range(64):
+        labels = components(links)
+        named = marked.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        named = cut(named.join(mixed.select("token"), "token", "left_semi"))
+        left = named.select("root").distinct().count()
+        if before is not None and left > 0.9 * before or left <= CELL:
+            break
+        before = left
+        met = [_meetings(_dealt(named, nth * DRAWS + k), ["token", "cell"], False) for k in range(DRAWS)]
+        some = met[0]
+        for more in met[1:]:
+            some = some.union(more)
+        some = cut(some.distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.select("a", "b").union(some.select("a", "b"))
+        links = cut(links.union(compare(some)))
+    rest = cut(_meetings(named, ["token"], True).join(tried, ["a", "b"], "left_anti"))
+    return cut(links.union(compare(rest)))
+
+
 def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
     """Documents with their shingle count and class: rows (doc_id, text_hash, node, n_shingles, root), one per document.
 
@@ -211,8 +286,8 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
     of their lengthened prefixes (``hot_tokens``, ``lengthened``). A pair must then share enough prefix tokens, and what
     follows its first shared token must be long enough, for the threshold to be in reach before whole sets are compared:
     first 32-bit, then 64-bit hashes. Tokens that stay common (sets made of hot tokens only) link to one leader per size
-    class first; afterwards only pairs of different classes that still share such a token are compared. No pair above the
-    threshold is lost, whatever the group sizes.
+    class first, then in random cells (``_across``); afterwards only pairs of different classes that still share such a token are
+    compared. No pair above the threshold is lost, whatever the group sizes.
 
     A NULL id is kept. Rows of one id are told apart by ``text_hash``; repeated rows all come out. Empty tables give no rows.
     """
@@ -272,7 +347,7 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
             nodes = batch["node"].to_numpy()
             for first, data in textmath.chunks(batch["t"]):
                 parts = textmath.shingle_sets(data, width)
-                short = [np.unique((p >> np.uint64(32)).astype(np.uint32)) for p in parts]
+                short = [textmath.distinct((p >> np.uint64(32)).astype(np.uint32)) for p in parts]
                 yield pd.DataFrame({"node": nodes[first:first + len(data)], "whole": [p.tobytes() for p in parts],
                                     "small": [p.tobytes() for p in short], "extra": [len(p) - len(q) for p, q in zip(parts, short)]})
 
@@ -288,15 +363,7 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
 
     links = cut(compare(pairs))
     if not common.isEmpty():
-        labels = components(links)
-        named = common.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        named = cut(named.join(mixed.select("token"), "token", "left_semi").select("token", "node", "n", "pos", "root"))
-        x = named.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-        y = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-        reach = f"least(na - pa, nb - pb) >= ({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}"
-        across = x.join(y, "token").where("a < b and ra != rb").where(fit).where(reach).select("a", "b", "na", "nb").distinct()
-        links = cut(links.union(compare(cut(across.join(pairs, ["a", "b"], "left_anti")))))
+        links = _across(common, sets, links, pairs, compare)
     labels = components(links)
     out = base.join(labels, "node", "left")
     return out.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))

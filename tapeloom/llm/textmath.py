@@ -70,6 +70,15 @@ def word_hashes(buffer, starts, ends):
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def distinct(values):
+    """The sorted distinct values of an array; on short arrays a plain sort is several times faster than ``np.unique``."""
+    values = np.sort(values)
+    if len(values) < 2:
+        return values
+    new = values[1:] != values[:-1]
+    return values if new.all() else values[np.concatenate(([True], new))]
+
+
 def shingle_sets(data, width=5):
     """For each text: sorted distinct 64-bit hashes of its ``width``-word shingles; fewer words are one shingle."""
     buffer, starts, ends, doc = words(data)
@@ -85,7 +94,7 @@ def shingle_sets(data, width=5):
     for a, b in zip(first[:-1], first[1:]):
         n = b - a
         if n >= width:
-            out.append(np.unique(rolled[a:b - width + 1]))
+            out.append(distinct(rolled[a:b - width + 1]))
         elif n:
             parts = mix(hashes[a:b] ^ salts[:n]).sum(dtype=np.uint64)
             out.append(mix(np.array([parts + np.uint64(n)], np.uint64)))
