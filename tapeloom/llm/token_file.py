@@ -11,7 +11,6 @@ rank takes 1 to 4 bytes, little-endian. The table from rank to id is one row per
 """
 
 from functools import lru_cache
-from itertools import chain
 import unicodedata
 import uuid
 import zlib
@@ -28,8 +27,8 @@ from .files import read_bytes, shared_folder, write_bytes
 
 MAGIC = b"TIDR1\n\0\0"
 NO_KEY = -(1 << 63)
-FILE_IDS = 4_000_000
-CACHE_WORDS = 100_000
+FILE_IDS = 2_000_000
+CACHE_WORDS = 1_000_000
 
 # Fixed value: how the tokenizer file splits a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -37,13 +36,13 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # What the tokenizer does not treat as Python does: separators that only Python splits at, and U+0000.
 UNLIKE = ["\x1c", "\x1d", "\x1e", "\x1f", "\x00"]
 
-LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
+LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
 def encode_ranks(values):
     """(control, data) bytes of an array of ranks."""
     values = np.ascontiguousarray(values, np.uint32)
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    size = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF) + np.uint8(1)
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[:len(values)] = size - 1
     code = code.reshape(-1, 4)
@@ -55,14 +54,14 @@ def encode_ranks(values):
 def decode_ranks(control, data, count):
     """The ranks; lengths come from a table with a row of four per control byte."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    start = np.cumsum(size) - size
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
+    start = np.cumsum(size, dtype=np.int64) - size
     if size.sum() != len(data):
         raise ValueError("control bytes do not match the data bytes")
-    out = np.zeros(count, np.uint32)
-    for byte in range(4):
-        more = size > byte
-        out[more] |= raw[start[more] + byte] << np.uint32(8 * byte)
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[start].astype(np.uint32)
+    for byte in range(1, 4):
+        at = np.flatnonzero(size > byte)
+        out[at] |= raw[start[at] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return out
 
 
@@ -87,6 +86,53 @@ def unpack_file(blob):
     return np.frombuffer(blob, "<i8", docs, 40), counts, ranks
 
 
+def gather(values, begins, sizes):
+    """The runs ``values[begin:begin + size]``, one after the other."""
+    upto = np.cumsum(sizes)
+    return values[np.repeat(begins - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
+class KnownWords:
+    """Ids of words by the hash of a word, in arrays: a few sorted parts that point into one array of ids."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.parts, self.ids, self.used = [], np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self):
+        return sum(len(keys) for keys, _, _ in self.parts)
+
+    def add(self, keys, sizes, ids):
+        """``keys`` sorted and new; a size of -1 stands for a word without ids of its own."""
+        if self.used + len(ids) > len(self.ids):
+            room = np.zeros(max(2 * len(self.ids), self.used + len(ids)), np.uint32)
+            room[:self.used] = self.ids[:self.used]
+            self.ids = room
+        self.ids[self.used:self.used + len(ids)] = ids
+        length = np.maximum(sizes, 0)
+        part = keys, (self.used + np.cumsum(length) - length).astype(np.uint32), sizes.astype(np.int32)
+        self.used += len(ids)
+        if not len(keys):
+            return
+        while self.parts and len(self.parts[-1][0]) < 2 * len(part[0]):
+            both = [np.concatenate(pair) for pair in zip(self.parts.pop(), part)]
+            order = np.argsort(both[0], kind="stable")
+            part = tuple(x[order] for x in both)
+        self.parts.append(part)
+
+    def find(self, keys):
+        """(begin, size, found) of every key."""
+        begins, sizes, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for known, begin, size in self.parts:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            begins[hit], sizes[hit] = begin[at[hit]], size[at[hit]]
+            found |= hit
+        return begins, sizes, found
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which sees every distinct word once.
 
@@ -94,7 +140,7 @@ class WordEncoder:
     found by 64-bit hashes. The tokenizer's own normalisation (NFC, white space, lower case) and word split run over the
     distinct other pieces, its byte-level BPE model over the distinct words. Texts go whole through the unchanged tokenizer
     if they hold the string of a special token, a character that Python treats in another way, or a code point without a
-    character, which tables of different age class differently. Words seen before in a task are kept, at most ``CACHE_WORDS``.
+    character, which tables of different age class differently. Words seen before are kept by their hash, at most ``CACHE_WORDS``.
     """
 
     def __init__(self, path):
@@ -106,7 +152,7 @@ class WordEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(r"\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [str(t.content) for t in self.model.get_added_tokens_decoder().values()] + UNLIKE
-        self.known = {}
+        self.known = KnownWords()
 
     def whole(self, text):
         """Ids by the unchanged tokenizer, loaded when a text first needs it."""
@@ -122,27 +168,39 @@ class WordEncoder:
         return any(s in piece or s in low for s in self.special) or (
             not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece))
 
+    def _some_apart(self, pieces):
+        """Whether one of many pieces may go apart, found on all of them at once."""
+        joined = "\n".join(pieces)
+        low = joined.lower()
+        return any(x in joined or x in low for x in self.special) or any(unicodedata.category(c) == "Cn" for c in set(joined))
+
     def _learn(self, tokens):
-        """Put the ids of new tokens into ``known``; None for pieces that send their text whole through the tokenizer."""
-        words = {}
+        """(sizes, ids) of new tokens; size -1 for pieces that send their text whole through the tokenizer."""
+        check = self._some_apart([t for t in tokens if not t.isascii()])
+        index, parts, counts = {}, [], []
         for token in tokens:
             if token.isascii():
-                words[token] = (token,)
-            elif self._apart(token):
-                words[token] = None
+                parts.append(index.setdefault(token, len(index)))
+                counts.append(1)
+            elif check and self._apart(token):
+                counts.append(-1)
             else:
                 lowered = unicodedata.normalize("NFC", token).replace("Σ", "σ").lower()
-                words[token] = [w for part in lowered.split() for w in WORDS.findall(part)]
-        new, ids_of = list({w for ws in words.values() if ws for w in ws}), {}
+                words = [lowered] if lowered.isalpha() else [w for part in lowered.split() for w in WORDS.findall(part)]
+                parts += [index.setdefault(w, len(index)) for w in words]
+                counts.append(len(words))
+        new, ids, sizes = list(index), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             encoded = self.model.encode("\n".join(part), add_special_tokens=False)
-            ids, owner = np.array(encoded.ids, np.uint32), np.array(encoded.word_ids)
-            bounds = (np.searchsorted(owner, np.arange(len(part) + 1)) if len(ids) else np.zeros(len(part) + 1, int)).tolist()
-            ids = ids.tolist()
-            ids_of.update((w, ids[a:b]) for w, a, b in zip(part, bounds[:-1], bounds[1:]))
-        for token, ws in words.items():
-            self.known[token] = None if ws is None else ids_of[ws[0]] if len(ws) == 1 else list(chain.from_iterable(ids_of[w] for w in ws))
+            ids.append(np.array(encoded.ids, np.uint32))
+            sizes.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part)))
+        size, parts = np.concatenate(sizes), np.array(parts, np.int64)
+        n = size[parts]
+        flat = gather(np.concatenate(ids), (np.cumsum(size) - size)[parts], n)
+        counts = np.array(counts, np.int64)
+        ends, total = np.cumsum(np.maximum(counts, 0)), np.concatenate(([0], np.cumsum(n)))
+        return np.where(counts < 0, -1, total[ends] - total[ends - np.maximum(counts, 0)]), flat
 
     def encode(self, texts):
         """An id array per text."""
@@ -157,20 +215,19 @@ class WordEncoder:
             while at >= 0:
                 apart.add(int(np.searchsorted(place, at, "right")))
                 at = joined.find(s.encode(), at + 1)
-        _, first, which = np.unique(textmath.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
-        tokens = [joined[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        new = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, tokens
-        self._learn(new)
-        ids = [self.known[t] for t in tokens]
-        missing = np.array([x is None for x in ids], bool)
-        sizes = np.fromiter((0 if x is None else len(x) for x in ids), np.int64, len(ids))
-        begins = np.cumsum(sizes) - sizes
-        flat = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.uint32, int(sizes.sum()))
-        n = sizes[which]
-        upto = np.cumsum(n)
-        all_ids = flat[np.repeat(begins[which] - (upto - n), n) + np.arange(int(n.sum()))]
+        keys, first, which = np.unique(textmath.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
+        begins, sizes, found = self.known.find(keys)
+        new = np.flatnonzero(~found)
+        if len(new):
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = np.arange(len(keys))
+            tokens = [joined[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self.known.add(keys[new], *self._learn(tokens))
+            begins, sizes, _ = self.known.find(keys)
+        missing = sizes < 0
+        n = np.maximum(sizes, 0)[which]
+        all_ids = gather(self.known.ids, begins[which], n)
         per_text = np.bincount(doc, n, len(texts)).astype(np.int64)
         out = np.split(all_ids, np.cumsum(per_text)[:-1]) if len(texts) else []
         for i in apart | set(np.unique(doc[missing[which]]).tolist()):
@@ -266,17 +323,15 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
                 ids = _encoder(tokenizer).encode(texts[a:b])
                 yield pd.DataFrame({"k": batch["k"].to_numpy()[a:b],
                                     "ids": [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in ids]})
-        _encoder(tokenizer).known.clear()
 
     plain = _with_codec(rows.mapInPandas(encode, "k long, ids binary"))
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch["ids"]:
-                part = np.bincount(np.frombuffer(blob, kind), minlength=len(total))
-                part[:len(total)] += total
-                total = part
+            part = np.bincount(np.frombuffer(b"".join(batch["ids"]), kind), minlength=len(total))
+            part[:len(total)] += total
+            total = part
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 

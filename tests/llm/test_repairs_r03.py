@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from tapeloom.llm import jaccard, textmath
+from tapeloom.llm import jaccard, textmath, token_file
+from tapeloom.llm.queries import tokenizer_path
 
 from .conftest import frame, prose
 from .test_jaccard import brute, found
@@ -55,3 +57,44 @@ def test_sketches_never_hide_an_overlap():
 def test_distinct_equals_unique(values):
     values = np.array(values, np.uint64)
     assert textmath.distinct(values).tolist() == np.unique(values).tolist()
+
+
+def test_words_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    """op2: beyond 100,000 words all of them were forgotten and encoded again."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26 ** k % 26] for k in range(4)) for i in range(130_000)]
+    encoder = token_file.WordEncoder(tokenizer_path())
+    seen, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda tokens: seen.append(len(tokens)) or learn(tokens))
+    texts = [" ".join(words[a:a + 10_000]) for a in range(0, len(words), 10_000)]
+    first = [encoder.encode([t])[0] for t in texts]
+    again = [encoder.encode([t])[0] for t in texts]
+    assert sum(seen) == len(words)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again))
+    assert np.array_equal(first[3], encoder.whole(texts[3]))
+
+
+def test_known_words_find_what_was_added():
+    rng, known, plain = np.random.default_rng(2), token_file.KnownWords(), {}
+    for size in (0, 5, 400, 3, 3, 70, 20_000, 1):
+        keys = np.setdiff1d(rng.integers(0, 1 << 62, size, np.uint64), np.fromiter(plain, np.uint64, len(plain)))
+        sizes = rng.integers(-1, 6, len(keys))
+        ids = rng.integers(0, 1 << 16, int(np.maximum(sizes, 0).sum())).astype(np.uint32)
+        known.add(keys, sizes, ids)
+        parts = np.split(ids, np.cumsum(np.maximum(sizes, 0)))
+        plain.update((k, None if n < 0 else part.tolist()) for k, n, part in zip(keys.tolist(), sizes.tolist(), parts))
+        wanted = np.sort(np.concatenate((np.fromiter(plain, np.uint64, len(plain)), np.array([1 << 63], np.uint64))))
+        begins, lengths, found = known.find(wanted)
+        got = {k: None if n < 0 else known.ids[b:b + n].tolist() for k, b, n, ok in zip(wanted.tolist(), begins.tolist(), lengths.tolist(), found) if ok}
+        assert got == plain and len(known) == len(plain) and len(known.parts) < 12
+
+
+def test_packing_takes_few_bytes_an_id():
+    """pipeline: a file of token ids was packed and unpacked with 8-byte lengths."""
+    ranks = np.arange(400_000, dtype=np.uint32) * np.uint32(7)
+    tracemalloc.start()
+    control, data = token_file.encode_ranks(ranks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * len(ranks), most / len(ranks)
+    assert np.array_equal(token_file.decode_ranks(control, data, len(ranks)), ranks)
