@@ -275,7 +275,8 @@ def _tokens(raw, starts, ends, doc):
 
 
 @lru_cache(maxsize=1)
-def _encoder(path):
+def _encoder(path, job):
+    """The encoder that the tasks of one job share in a worker; the words of a job before are dropped with its encoder."""
     return WordEncoder(path)
 
 
@@ -320,7 +321,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
         for batch in batches:
             texts = batch["t"].tolist()
             for a, b in _batches(texts):
-                ids = _encoder(tokenizer).encode(texts[a:b])
+                ids = _encoder(tokenizer, folder).encode(texts[a:b])
                 yield pd.DataFrame({"k": batch["k"].to_numpy()[a:b],
                                     "ids": [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in ids]})
 

@@ -98,3 +98,10 @@ def test_packing_takes_few_bytes_an_id():
     tracemalloc.stop()
     assert most < 24 * len(ranks), most / len(ranks)
     assert np.array_equal(token_file.decode_ranks(control, data, len(ranks)), ranks)
+
+
+def test_tasks_of_a_job_share_known_words_and_jobs_do_not():
+    encoder = token_file._encoder(tokenizer_path(), "job 1")
+    encoder.encode(["one two"])
+    assert token_file._encoder(tokenizer_path(), "job 1") is encoder and len(encoder.known) == 2
+    assert len(token_file._encoder(tokenizer_path(), "job 2").known) == 0
