@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut
 from . import textmath
-from .common import broadcast_if_small, shuffle_partitions
+from .common import broadcast_if_small, shuffle_partitions, small_batches
 
 HOT, MAX_HOT, GROUP = 16, 500_000, 64
 PAIRS = 200_000  # pairs a task holds at once
@@ -291,6 +291,7 @@ def jaccard_join(docs, text="text", doc_id="doc_id", width=5):
 
     A NULL id is kept. Rows of one id are told apart by ``text_hash``; repeated rows all come out. Empty tables give no rows.
     """
+    small_batches(docs.sparkSession)
     hot, frequency = hot_tokens(docs, text, width)
     rank = np.argsort(np.argsort(frequency, kind="stable"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))

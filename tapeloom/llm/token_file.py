@@ -22,7 +22,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.storage import cut
 from . import textmath
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_batches
 from .files import read_bytes, shared_folder, write_bytes
 
 MAGIC = b"TIDR1\n\0\0"
@@ -313,6 +313,7 @@ def write_token_files(docs, tokenizer, folder=None, text="text", doc_id="doc_id"
     the order of their ids. No documents give no file. Columns besides the two are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_folder(spark, "tokens")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_KEY)).alias("k"), F.col(text).alias("t"))
     kind = _id_type(tokenizer, end_id)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut
 from . import textmath
+from .common import small_batches
 
 DIM = 1 << 18
 PREFIXES = (4, 5)
@@ -124,6 +125,7 @@ def train(docs, labels, text="text", doc_id="doc_id", label="toxic", max_positiv
     the sampled ids, a bounded table; only the counts of the features and each row's chosen ones come to the driver. After training, the bias moves the cut to the gap in the scores of the unlabelled
     sample that leaves about the class prior above it. Without a confirmed toxic row the model scores 0.
     """
+    small_batches(docs.sparkSession)
     known = training_labels(labels, label, doc_id)
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("label") == 1, 1)), F.lit(0))).first()
     empty = {"weights": np.zeros(DIM), "bias": -50.0, "known": np.zeros(DIM, bool)}
