@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from tapeloom.contracts import LABELS, MARKET_FEATURES, SENTIMENT_DAILY, TEXT_DAILY, TEXT_LENGTHS, TEXT_SENTIMENT
 from tapeloom.functions import text as X
 from tapeloom.functions.storage import cut
-from tapeloom.operators import calendar as cal, cleaning, dataset, dedup, text_features as tf
+from tapeloom.operators import calendar as cal, cleaning, dataset, dedup, market, text_features as tf
 
 from . import query
 from .articles import _KEYED, THRESHOLD, WINDOW, cleaned
-from .fixtures import ALIGN, CALENDAR, CLEAN, ENCODED, FEATURES, NEWS, calendar, encoded, features, news, r6, rounded, six, table
+from .fixtures import (ALIGN, CALENDAR, CLEAN, ENCODED, FEATURES, NEWS, SPLITS, bars, calendar, encoded, features, news, r6, rounded, six,
+                       table)
 
 DIM = 16
 
@@ -215,7 +216,8 @@ def standardize(spark, d):
        SELECT symbol, trade_date, {', '.join(r6(f'(coalesce({c}, 0) - {c}_m) / {c}_s', c) for c in _STD)}
        FROM f3 LEFT JOIN st USING (symbol)""")
 def standardize_per_series(spark, d):
-    f = features(spark, d).select("symbol", "trade_date", "split", *_STD)  # worked out twice from one exchange; storing it takes more disk
+    days = cut(bars(spark, d))  # the features of a day are seven times as wide: worked out twice from one exchange, not stored
+    f = market.market_features(days, SPLITS).select("symbol", "trade_date", "split", *_STD)
     out = dataset.standardize(f, _STD, dataset.fit_standardizer(f, _STD, ["symbol"]), ["symbol"])
     return rounded(out.select("symbol", "trade_date", *_STD))
 
