@@ -139,5 +139,5 @@ def sequence_windows(spark, d):
 @query("sequence_windows_blocks", _WINDOWS)
 def sequence_windows_blocks(spark, d):
     """The same windows with every series cut into blocks."""
-    f = features(spark, d).select(*KEY, "split", "next_ret_1", *_SEQ)  # rows are stored to be numbered: only what is read
+    f = features(spark, d, ["symbol"]).select(*KEY, "split", "next_ret_1", *_SEQ)  # rows are stored to be numbered: only what is read
     return _cells(dataset.sequence_windows(f, _SEQ, 5, block_rows=100))
