@@ -37,11 +37,11 @@ def _placed(df, value, splits, alone):
     return place.withColumn("_part", part).drop("_at")
 
 
-def _below(counted, by):
+def _below(counted, by, weight):
     """Per group and bucket its rows ``n`` and those in lower buckets ``below``, once for every part of the bucket."""
     order = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = F.when(F.col("_alone"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    counts = counted.groupBy(*by, "_bucket", "_alone").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.groupBy(*by, "_bucket", "_alone").agg(F.sum(weight).alias("n"))
     counts = counts.withColumn("below", F.coalesce(F.sum("n").over(order), F.lit(0)))
     names = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by[:-2])]  # names of their own: the other side of a cogroup holds the same columns
     return counts.select(*names, *by[-2:], F.col("_bucket").alias("_bucket"), "below", "n", F.explode(parts).alias("_part"))
@@ -92,22 +92,21 @@ def _numbers(table, name):
     return table[name].to_numpy().astype(np.float64)
 
 
-def _ranked(keys, columns, first, second):
+def _ranked(keys, columns, first, second, weight):
     """Rows of a bucket of ``first`` become one row per group, all columns and ``second``: rows ``w`` and sums ``a<i>`` of ranks.
 
     Rows without ``second`` hold the sums of squares of the ranks of a group in the column that is not NULL.
     """
 
     def run(rows, sides):
-        values, other = _numbers(rows, first), _numbers(rows, second)
-        ones = np.ones(rows.num_rows)
+        values, other, w = _numbers(rows, first), _numbers(rows, second), _numbers(rows, weight)
         out, ranks = [], []
         for i, column in enumerate(columns):
-            codes, rank, inside = _ranks(rows, sides, keys, column, values, ones)
-            ranks.append(rank)
+            codes, rank, inside = _ranks(rows, sides, keys, column, values, w)
+            ranks.append(w * rank)
             found, at = _firsts(codes[inside])
             at = np.flatnonzero(inside)[at]
-            squares = np.bincount(codes[inside], rank[inside] ** 2)[found] if len(at) else np.empty(0)
+            squares = np.bincount(codes[inside], (w * rank * rank)[inside])[found] if len(at) else np.empty(0)
             group = rows.take(pa.array(at))
             none = pa.nulls(len(at))
             out.append(pa.table({**{k: group[k] for k in keys}, **{c: group[c] if c == column else none.cast(pa.int32()) for c in columns},
@@ -118,7 +117,7 @@ def _ranked(keys, columns, first, second):
         c, v = codes[order], other[order]
         starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])])
         group = rows.take(pa.array(order[starts]))
-        out.append(pa.table({**{k: group[k] for k in [*keys, *columns, second]}, "w": np.add.reduceat(ones, starts),
+        out.append(pa.table({**{k: group[k] for k in [*keys, *columns, second]}, "w": np.add.reduceat(w[order], starts),
                              **{f"a{j}": np.add.reduceat(r[order], starts) for j, r in enumerate(ranks)}}))
         return pa.concat_tables(out, promote_options="permissive")
 
@@ -159,33 +158,34 @@ def _summed(keys, columns, second):
     return run
 
 
-def paired_rank_sums(df, keys, columns, first, second):
+def paired_rank_sums(df, keys, columns, first, second, weight):
     """Per ``keys``, ``group_column`` and ``group_value``: rows ``n`` and sums of the ranks ``a`` of ``first`` and ``p`` of
     ``second`` (average ranks in the group) and of their squares and products ``aa``, ``pp`` and ``ap``.
 
     ``df`` is a stored table whose int ``columns`` give a row's groups, NULL for none, and whose doubles ``first`` and
-    ``second`` are known.
+    ``second`` are known; a row stands for ``weight`` rows.
     """
     keys, columns = list(keys), list(columns)
     by = [*keys, "group_column", "group_value"]
-    df = df.select(*keys, *columns, *[(F.col(c) + 0.0).alias(c) for c in (first, second)])
+    df = df.select(*keys, *columns, weight, *[(F.col(c) + 0.0).alias(c) for c in (first, second)])
     count = df.count()
     buckets = max(2, -(-count // ROWS))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
 
     def dealt(rows, value):
         splits, alone = _splits(df, value, buckets)
-        long = _placed(df, value, splits, alone).select(*keys, "_bucket", "_alone", *columns).unpivot(
-            [*keys, "_bucket", "_alone"], columns, "group_column", "group_value").where("group_value is not null")
+        kept = [*keys, "_bucket", "_alone", weight]
+        long = _placed(df, value, splits, alone).select(*kept, *columns).unpivot(
+            kept, columns, "group_column", "group_value").where("group_value is not null")
         left = _placed(rows, value, splits, alone).repartition(tasks, "_bucket", "_part").groupBy("_bucket", "_part")
-        return left.cogroup(_below(long, by).groupBy("_bucket", "_part"))
+        return left.cogroup(_below(long, by, weight).groupBy("_bucket", "_part"))
 
     def schema(*names):
         return [f for n in names for f in df.schema.fields if f.name == n]
 
     double = lambda names: [T.StructField(n, T.DoubleType()) for n in names]
     whole = T.StructType([*schema(*keys, *columns, second), *double(["w", *[f"a{i}" for i in range(len(columns))]])])
-    ranked = dealt(df, first).applyInArrow(_guarded(_ranked(keys, columns, first, second), whole), whole)
+    ranked = dealt(df, first).applyInArrow(_guarded(_ranked(keys, columns, first, second, weight), whole), whole)
     sums = T.StructType([*schema(*keys), T.StructField("group_column", T.StringType()), T.StructField("group_value", T.IntegerType()), *double(SUMS)])
     summed = dealt(ranked, second).applyInArrow(_guarded(_summed(keys, columns, second), sums), sums)
     return summed.groupBy(*by).agg(*[F.sum(s).alias(s) for s in SUMS])
